@@ -1,12 +1,21 @@
 """The queries of this subpackage and the DuckDB SQL of those that SQL can express."""
 
-from galaxis.llm import bpe, quality
+from galaxis.llm import bpe, line_dedup, mixing, quality, token_files, topk_search, warc
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op5_warc": warc.op5_warc,
+    "op6_topk_search": topk_search.op6_topk_search,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_bpe": bpe.op8_bpe,
+    "op9_token_files": token_files.op9_token_files,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op2_line_dedup": line_dedup.ORACLE,
+    "op5_warc": warc.ORACLE,
+    "op6_topk_search": topk_search.ORACLE,
     "op7_quality_rules": quality.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
