@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import read
+from galaxis.llm._store import read, saved
 
 #: Host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -78,8 +78,10 @@ def with_tokens(urls: DataFrame, url: str = "url") -> DataFrame:
 @dataclass(frozen=True)
 class Mining:
     """support: the least share of labelled URLs that a combination with its label has; confidence: of the URLs with the
-    combination, the least share with the label. The bounds on sample, tokens of a rule and rules bound the model."""
+    combination, the least share with the label; least_rows: the least number of URLs that a rule rests on. The bounds
+    on sample, tokens of a rule and rules bound the model."""
 
+    least_rows: int = 20
     support: float = 0.002
     confidence: float = 0.9
     sample: int = 200_000
@@ -102,9 +104,11 @@ def mine(labelled: DataFrame, mining: Mining | None = None) -> list[Rule]:
     mining = mining or Mining()
     rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).select("tokens", "label")
     rows = rows.orderBy(F.xxhash64("tokens", "label")).limit(mining.sample).select(F.array_append("tokens", F.concat(F.lit("label:"), "label")).alias("items"))
-    if rows.isEmpty():
+    rows, _ = saved(rows, "labelled")
+    n = rows.count()
+    if n < mining.least_rows or not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(rows)
+    model = FPGrowth(itemsCol="items", minSupport=max(mining.support, mining.least_rows / n), minConfidence=mining.confidence).fit(rows)
     found = (
         model.associationRules.where(F.col("consequent")[0].startswith("label:") & (F.size("antecedent") <= mining.most_tokens))
         .select(F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 1000).alias("label"), "confidence", "support")

@@ -51,7 +51,7 @@ def test_mined_rules_and_index_equal_brute_force(spark):
     for _ in range(300):
         names = sorted(rng.sample("abcdefg", rng.randrange(1, 5)))
         rows.append((names, "block" if "a" in names and "b" in names or rng.random() < 0.05 else "allow"))
-    mining = uf.Mining(support=0.02, confidence=0.85)
+    mining = uf.Mining(least_rows=0, support=0.02, confidence=0.85)
     rules = uf.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), mining)
     assert {(r.tokens, r.label) for r in rules} == brute_rules(rows, mining)
     index = uf.Index(rules)
