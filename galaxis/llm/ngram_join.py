@@ -11,10 +11,12 @@ needs, by a slack; a set skips its weak segments as long as they count no more t
 still shares another one. The few sets with more index all their segments, and meet among themselves.
 
 Keys are packed into blocks by hash range, a few rows for each batch of documents, and met in numpy. What shares a key is
-a bucket; buckets with the same members are one. Links are verified exactly on the texts, by rounds: each set against
-the least set that it shares a bucket with; then each against its buckets' least one; then, of buckets whose members are
-still not connected, all pairs that are not. A pair already connected through others needs no look, which is what keeps
-thousands of near copies from becoming all their pairs. No cap anywhere: the last round is exact for whatever is left.
+a bucket; buckets with the same members are one. Within a bucket, sets are compared by parity sketches: bits that tell
+whether an even or odd number of elements falls on them differ at most where the sets do, so sets whose sketches differ
+in more than H bits can't be linked. What passes is verified exactly on the texts, by rounds: each set against its most
+alike one in a bucket, then a few others, then all that is left, always without those that are connected already or have
+failed. So thousands of near copies, or of documents that share a long passage, don't become all their pairs. No cap
+anywhere: the last round takes whatever is left. Buckets of more than BUCKET_ROWS sets are compared in pairs of parts.
 
 Defined cases: texts without words, or null, have empty sets and are linked with nothing; with fewer words than a shingle
 has, the whole sequence is one. Equal sets are one class from the start. Rows that repeat an id are documents one by
@@ -42,6 +44,8 @@ PIECE_BYTES, FLUSH_KEYS, KEYS_PER_TASK = 4 << 20, 1 << 20, 1_500_000
 #: The most document ids that are broadcast to fetch or drop documents; more are joined by a shuffle.
 MOST_BROADCAST = 400_000
 NO_ID = 2**63 - 1
+#: The sets of a bucket that are compared in one task; larger buckets are split. Partners of a set in a bucket by round.
+BUCKET_ROWS, PARTNERS = 4096, (1, 3, 8)
 
 
 @dataclass(frozen=True)
@@ -163,7 +167,8 @@ def _node(elements: np.ndarray) -> int:
 SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("band", T.IntegerType())])
 BLOCKS = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("nodes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
 MEMBERS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType())])
-TEXTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("text", T.StringType())])
+TEXTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("text", T.StringType())])
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType())])
 
 
@@ -307,15 +312,103 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 200_000]), pa.array(node[a : a + 200_000])], names=MEMBERS.names)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """For each of some bits, a power of two of them, the parity of the number of elements that fall on it."""
+    bits = 64
+    while bits < 1.25 * len(elements):
+        bits *= 2
+    at = (mix(elements ^ np.uint64(0x243F6A8885A308D3)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of fewer words, as it would have been made."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), 0)
+
+
 def _texts(likeness: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = [_node(s) if len(s) else None for s in _sets(batch.column(0), likeness.words)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column(0)], names=TEXTS.names)
+            sets = [(_node(s), len(s), sketch(s).tobytes()) if len(s) else (None, 0, b"") for s in _sets(batch.column(0), likeness.words)]
+            node, n, bits = zip(*sets, strict=True) if sets else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), batch.column(0)], names=TEXTS.names)
+
+    return run
+
+
+def _alike(likeness: Likeness, number: int):
+    """Pairs of a round from buckets (bucket, p, q, part, node, c, n, failed, sketch), sorted by bucket, p and q: sets of
+    part p with sets of part q that may be linked, aren't connected and haven't failed."""
+    most = PARTNERS[number] if number < len(PARTNERS) else None
+    less, more = 100 - likeness.percent, 100 + likeness.percent
+
+    def of(rows: list[tuple], p: int, q: int) -> Iterator[tuple[int, int]]:
+        part, node, c, n, failed, bits = zip(*rows, strict=True)
+        part, node, c, n = (np.array(v, np.int64) for v in (part, node, c, n))
+        if (c == c[0]).all():
+            return
+        words = [np.frombuffer(x, np.uint64) for x in bits]
+        size = min(map(len, words))
+        table = np.stack([folded(w, size) for w in words])
+        for i in range(len(rows)):
+            fits = c != c[i]
+            if p != q:
+                fits &= part != part[i]
+            fits &= np.minimum(n, n[i]) * 100 >= likeness.percent * np.maximum(n, n[i])
+            at = np.flatnonzero(fits)
+            if not len(at):
+                continue
+            apart = np.bitwise_count(table[at] ^ table[i]).sum(1, dtype=np.int64)
+            near = apart * more <= less * (n[at] + n[i])
+            at, apart = at[near], apart[near]
+            if len(at) and failed[i]:
+                new = ~np.isin(node[at], failed[i])
+                at, apart = at[new], apart[new]
+            if most is None:
+                at = at[at > i]
+            elif len(at) > most:
+                if number:  # others in another bucket
+                    apart = mix(node[at].astype(np.uint64) + np.uint64(rows_salt(rows)))
+                at = at[np.argpartition(apart, most - 1)[:most]]
+            own = int(node[i])
+            for other in node[at].tolist():
+                yield (own, other) if own > other else (other, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        key, rows = None, []
+
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*pairs, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=PAIRS.names)
+
+        def fresh() -> list[tuple[int, int]]:
+            if len(rows) < 2:
+                return []
+            found = list(dict.fromkeys(x for x in of(rows, key[1], key[2]) if x not in seen))
+            if len(seen) < 2_000_000:
+                seen.update(found)
+            return found
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns, strict=True):
+                if row[:3] != key:
+                    if found := fresh():
+                        yield out(found)
+                    key, rows = row[:3], []
+                rows.append(row[3:])
+        if found := fresh():
+            yield out(found)
 
     return run
 
 
+def rows_salt(rows: list[tuple]) -> int:
+    """A number of a bucket's own."""
+    return (rows[0][1] * 31 + rows[-1][1]) & (2**63 - 1)
+
+
 def _verify(likeness: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -361,6 +454,52 @@ def components(links: DataFrame, before: DataFrame | None) -> tuple[DataFrame, s
             return labels, place
 
 
+def _rounds(docs: DataFrame, classes: DataFrame, members: DataFrame, likeness: Likeness) -> DataFrame | None:
+    """Components of sets, by verified links of sets that share a bucket; None without links."""
+    spark = docs.sparkSession
+    nodes = members.select("node").distinct()
+    reps = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id"))
+    texts, texts_place = saved(_fetch(docs, reps, "left_semi").select("text").mapInArrow(_texts(likeness), TEXTS).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
+    members = members.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    comp, comp_place, number = None, None, 0
+    done: list[DataFrame] = []
+    while True:
+        now = members.withColumn("c", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        if comp is not None:
+            open_ = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
+            now = now.join(open_, "bucket", "left_semi")
+        if done:
+            tried = reduce(DataFrame.unionByName, done)
+            tried = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            now = now.join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
+        else:
+            now = now.withColumn("failed", F.lit(None).cast("array<long>"))
+        whole = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("h")
+        now = now.select("bucket", "node", "c", "failed", "part", whole).withColumns({"p": F.least("part", "h"), "q": F.greatest("part", "h")})
+        rows = now.join(texts.select("node", "n", "sketch"), "node").select("bucket", "p", "q", "part", "node", "c", "n", "failed", "sketch")
+        rows = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
+        pairs, pairs_place = saved(rows.mapInArrow(_alike(likeness, number), PAIRS).distinct(), "pairs")
+        if pairs.isEmpty():
+            break
+        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+        verified, _ = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(likeness), LINKS), "links")
+        remove(spark, pairs_place)
+        done.append(verified.where("NOT linked").select("a", "b"))
+        links = verified.where("linked")
+        if not links.isEmpty():
+            before = comp_place
+            comp, comp_place = components(links, comp)
+            if before:
+                remove(spark, before)
+        number += 1
+        if number > len(PARTNERS):
+            break
+    remove(spark, texts_place)
+    return comp
+
+
 def _fetch(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Rows of docs whose id is (left_semi) or isn't (left_anti) among ids."""
     ids, _ = saved(ids.distinct(), "ids")
@@ -401,46 +540,6 @@ def linked_components(docs: DataFrame, likeness: Likeness | None = None, doc_id:
     return out
 
 
-def _rounds(docs: DataFrame, classes: DataFrame, members: DataFrame, likeness: Likeness) -> DataFrame | None:
-    """Components of sets, by verified links of sets that share a bucket; None without links."""
-    spark = docs.sparkSession
-    nodes = members.select("node").distinct()
-    reps = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id"))
-    texts, texts_place = saved(_fetch(docs, reps, "left_semi").select("text").mapInArrow(_texts(likeness), TEXTS).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    sizes = classes.select("node", "n")
-    comp, comp_place = None, None
-    done: list[DataFrame] = []
-    for number in (1, 2, 3):
-        if comp is None:
-            now = members.withColumn("c", F.col("node"))
-        else:
-            now = members.join(comp, "node", "left").withColumn("c", F.coalesce("c", "node"))
-        least = now.groupBy("bucket").agg(F.min(F.struct("c", "node")).alias("m"), F.max("c").alias("high")).where("m.c <> high").select("bucket", F.col("m.c").alias("low"), F.col("m.node").alias("b"))
-        if number < 3:
-            pairs = now.join(least, "bucket").where("c <> low").select(F.col("node").alias("a"), "b")
-            pairs = pairs.groupBy("a").agg(F.min("b").alias("b")) if number == 1 else pairs.distinct()
-        else:
-            active = now.join(least.select("bucket"), "bucket", "left_semi").join(sizes, "node")
-            other = active.select("bucket", F.col("node").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"))
-            close = (F.col("n") * 100 >= F.col("n2") * likeness.percent) & (F.col("n2") * 100 >= F.col("n") * likeness.percent)
-            pairs = active.join(other, "bucket").where((F.col("c") < F.col("c2")) & close).select(F.col("node").alias("a"), "b").distinct()
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        if done:
-            pairs = pairs.join(reduce(DataFrame.unionByName, done), ["a", "b"], "left_anti")
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        verified, _ = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(likeness), LINKS), "links")
-        done.append(verified.select("a", "b"))
-        links = verified.where("linked")
-        if not links.isEmpty():
-            before = comp_place
-            comp, comp_place = components(links, comp)
-            if before:
-                remove(spark, before)
-    remove(spark, texts_place)
-    return comp
-
-
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return linked_components(read(spark, sf_dir, "documents")).select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
