@@ -7,11 +7,12 @@ updated. Texts are then lookups of whole pre-tokens. One pass, no shuffle.
 
 Defined cases: a null text is encoded as an empty one (no ids); a pre-token may be as long as the whole text; the
 strings of special tokens in a text become their ids, as the tokenizers library does by default. Known pre-tokens are
-kept per worker up to a bound and then forgotten, which changes no result.
+kept within a partition up to a bound and then forgotten, which changes no result.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -21,15 +22,18 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import read
+from galaxis.llm._store import pieces, read
 
-#: Pre-tokens that a worker remembers.
-KNOWN = 400_000
+#: Pre-tokens that are remembered within a partition.
+KNOWN = 200_000
+#: Places from which on a rank is applied to all at once; bytes of text that are encoded together.
+MANY, PIECE_BYTES = 32, 4 << 20
 _codecs: dict[str, ByteBPE] = {}
 
 
@@ -81,85 +85,147 @@ class ByteBPE:
         vocab = model["vocab"]
         if spec["normalizer"] or model.get("end_of_word_suffix") or model.get("byte_fallback") or model.get("unk_token"):
             raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-        self.start = [vocab[c] for c in shown]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+        self._merges([vocab[c] for c in shown], [(vocab[x], vocab[y], vocab[x + y]) for x, y in (m.split(" ") if isinstance(m, str) else m for m in model["merges"])])
         byte = {c: b for b, c in enumerate(shown)}
         self.bytes: dict[int, bytes] = {i: bytes(map(byte.__getitem__, s)) for s, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes.update({i: s.encode() for s, i in self.special.items()})
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = splitter().findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.known_text: dict[str, str] = {}
-
-    def learn(self, tokens: list[str]) -> None:
-        """Encode pre-tokens together and remember their ids."""
-        symbols: list[int] = []
-        follow: list[int] = []
-        before: list[int] = []
-        bounds = []
-        for token in tokens:
-            at = len(symbols)
-            symbols.extend(map(self.start.__getitem__, token.encode()))
-            bounds.append(at)
-            follow.extend(range(at + 1, len(symbols) + 1))
-            before.extend(range(at - 1, len(symbols) - 1))
-            follow[-1] = before[at] = -1
-        ranks = self.ranks
-        index: dict[int, tuple[tuple[int, int], int, list[int]]] = {}
-        heap: list[int] = []
-
-        def note(pair: tuple[int, int], at: int) -> int | None:
-            got = ranks.get(pair)
-            if got is None:
-                return None
-            entry = index.get(got[0])
-            if entry is None:
-                index[got[0]] = (pair, got[1], [at])
-                heapq.heappush(heap, got[0])
+    def _merges(self, start: list[int], merges: list[tuple[int, int, int]]) -> None:
+        """start: the symbol of each byte; merges: (left, right, merged) in ascending rank."""
+        self.start = np.array(start, np.int64)
+        self.merges = merges
+        self.ranks: dict[int, int] = {}
+        for rank, (a, b, _) in enumerate(merges):
+            self.ranks.setdefault(a << 24 | b, rank)
+        #: Ranks of pairs of bytes, by the bytes.
+        self.first = np.full((256, 256), -1, np.int32)
+        of = {symbol: byte for byte, symbol in enumerate(start)}
+        for key, rank in self.ranks.items():
+            if (key >> 24) in of and (key & 0xFFFFFF) in of:
+                self.first[of[key >> 24], of[key & 0xFFFFFF]] = rank
+        order = sorted(self.ranks)
+        self.pairs = np.array(order, np.int64)
+        self.pair_ranks = np.array([self.ranks[k] for k in order], np.int64)
+        #: Ranks whose merge can make a pair of a lower rank.
+        least: dict[int, int] = {}
+        for key, rank in self.ranks.items():
+            for symbol in (key >> 24, key & 0xFFFFFF):
+                least[symbol] = min(rank, least.get(symbol, rank))
+        self.backward = {rank for rank, (_, _, m) in enumerate(merges) if least.get(m, rank) < rank}
+        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+
+    def _apply(self, places: list[int], rank: int, symbols: np.ndarray, follow: np.ndarray, before: np.ndarray, index: dict, heap: list[int]) -> None:
+        """A rank at all its places at once, for two different symbols: no two of its pairs then overlap."""
+        a, b, merged = self.merges[rank]
+        at = np.unique(np.array(places, np.int64))
+        at = at[symbols[at] == a]
+        after = follow[at]
+        fits = (after >= 0) & (symbols[after] == b)
+        at, after = at[fits], after[fits]
+        symbols[at], symbols[after] = merged, -1
+        beyond = follow[at] = follow[after]
+        more = beyond >= 0
+        before[beyond[more]] = at[more]
+        prior = before[at]
+        prior = prior[prior >= 0]
+        spots = np.concatenate((at[more], prior))
+        pairs = np.concatenate((merged << 24 | symbols[beyond[more]], symbols[prior] << 24 | merged))
+        found = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        there = self.pairs[found] == pairs
+        spots, ranks = spots[there], self.pair_ranks[found[there]]
+        if not len(spots):
+            return
+        order = np.argsort(ranks, kind="stable")
+        spots, ranks = spots[order].tolist(), ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        for r, x, y in zip(ranks[cuts].tolist(), cuts, [*cuts[1:], len(spots)], strict=True):
+            if r in index:
+                index[r].extend(spots[x:y])
             else:
-                entry[2].append(at)
-            return got[0]
+                index[r] = spots[x:y]
+                heapq.heappush(heap, r)
 
-        for at, after in enumerate(follow):
-            if after >= 0:
-                note((symbols[at], symbols[after]), at)
+    def learn(self, tokens: list[str]) -> None:
+        """Encode pre-tokens together and remember their ids and these as text."""
+        coded = [t.encode() for t in tokens]
+        data = np.frombuffer(b"".join(coded), np.uint8)
+        ends = np.cumsum([len(c) for c in coded])
+        begins = np.concatenate(([0], ends[:-1]))
+        state = self.start[data]
+        follow = np.arange(1, len(data) + 1)
+        follow[ends - 1] = -1
+        before = np.arange(-1, len(data) - 1)
+        before[begins] = -1
+        ranks = np.append(self.first[data[:-1], data[1:]], -1)
+        ranks[ends - 1] = -1
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        there, cuts = np.unique(ranks[order], return_index=True)
+        index = {r: places.tolist() for r, places in zip(there.tolist(), np.split(order, cuts[1:]), strict=True)} if len(there) else {}
+        heap = list(index)  # ascending, so a heap
+        after_state, before_state = follow, before
+        symbols, follow, before = memoryview(state), memoryview(follow), memoryview(before)
+        get, merges, seen, push = self.ranks.get, self.merges, index.get, heapq.heappush
         while heap:
             rank = heapq.heappop(heap)
-            (a, b), merged, places = index.pop(rank)
-            places.sort()
+            a, b, merged = merges[rank]
+            places = index.pop(rank)
+            if len(places) >= MANY and a != b and rank not in self.backward:
+                self._apply(places, rank, state, after_state, before_state, index, heap)
+                continue
+            if a == b:
+                places.sort()
+            left = merged << 24
             for k, at in enumerate(places):
+                if symbols[at] != a:
+                    continue  # it has gone into another merge
                 after = follow[at]
-                if symbols[at] != a or after < 0 or symbols[after] != b:
-                    continue  # one of its two symbols has gone into another merge
+                if after < 0 or symbols[after] != b:
+                    continue
                 symbols[at], symbols[after] = merged, -1
                 beyond = follow[at] = follow[after]
-                least = None
+                least = rank
                 if beyond >= 0:
                     before[beyond] = at
-                    least = note((merged, symbols[beyond]), at)
-                if (prior := before[at]) >= 0:
-                    other = note((symbols[prior], merged), prior)
-                    least = other if least is None or other is not None and other < least else least
-                if least is not None and least < rank:  # a lower rank goes first, also before this rank's other places
-                    rest = places[k + 1 :]
-                    if rest:
+                    r = get(left | symbols[beyond])
+                    if r is not None:
+                        held = seen(r)
+                        if held is None:
+                            index[r] = [at]
+                            push(heap, r)
+                        else:
+                            held.append(at)
+                        least = r if r < least else least
+                prior = before[at]
+                if prior >= 0:
+                    r = get(symbols[prior] << 24 | merged)
+                    if r is not None:
+                        held = seen(r)
+                        if held is None:
+                            index[r] = [prior]
+                            push(heap, r)
+                        else:
+                            held.append(prior)
+                        least = r if r < least else least
+                if least < rank:  # a lower rank goes first, also before this rank's other places
+                    if rest := places[k + 1 :]:
                         if rank in index:
-                            index[rank][2].extend(rest)
+                            index[rank].extend(rest)
                         else:
-                            index[rank] = ((a, b), merged, rest)
-                            heapq.heappush(heap, rank)
+                            index[rank] = rest
+                            push(heap, rank)
                     break
-        for token, at in zip(tokens, bounds, strict=True):
-            ids = []
-            while at >= 0:
-                ids.append(symbols[at])
-                at = follow[at]
-            self.known[token] = tuple(ids)
-            self.known_text[token] = ",".join(map(str, ids))
+        known = self.known
+        kept = np.flatnonzero(state >= 0)
+        flat = state[kept].tolist()
+        cuts = np.searchsorted(kept, ends).tolist()
+        at = 0
+        for token, end in zip(tokens, cuts, strict=True):
+            ids = flat[at:end]
+            known[token] = (tuple(ids), ",".join(map(str, ids)))
+            at = end
 
     def parts(self, text: str) -> list[str | int]:
         """Pre-tokens of a text, and ids of special tokens."""
@@ -172,20 +238,29 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
         """The ids of each text, and the ids as decimal numbers with commas."""
-        for start in range(0, len(texts), 256):
-            split = [self.parts(t or "") for t in texts[start : start + 256]]
+        sizes = np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))
+        for start, stop in pieces(sizes, PIECE_BYTES):
+            split = [self.parts(t or "") for t in texts[start:stop]]
             if len(self.known) > KNOWN:
                 self.known.clear()
-                self.known_text.clear()
-            fresh = {*chain.from_iterable(split)} - self.known.keys()
+            get = self.known.get
+            found = [list(map(get, tokens)) for tokens in split]
+            lacking = [k for k, got in enumerate(found) if None in got]
+            fresh = {t for k in lacking for t, got in zip(split[k], found[k], strict=True) if got is None}
             for i in [x for x in fresh if isinstance(x, int)]:
-                self.known[i], self.known_text[i] = (i,), str(i)
+                self.known[i] = ((i,), str(i))
                 fresh.discard(i)
             if fresh:
-                self.learn(list(fresh))
-            known, shown = self.known.__getitem__, self.known_text.__getitem__
-            for tokens in split:
-                yield list(chain.from_iterable(map(known, tokens))), ",".join(map(shown, tokens))
+                gc.disable()  # it makes many tuples and no cycles
+                try:
+                    self.learn(list(fresh))
+                finally:
+                    gc.enable()
+            for k in lacking:
+                found[k] = list(map(get, split[k]))
+            for got in found:
+                ids, shown = zip(*got, strict=True) if got else ((), ())
+                yield list(chain.from_iterable(ids)), ",".join(shown)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -207,10 +282,11 @@ def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         bpe = codec(path)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
-            for at in range(0, len(texts), 256):
-                got = [x for x, _ in bpe.encode_batch(texts[at : at + 256].to_pylist())]
-                part = batch.slice(at, 256)
+            for at in range(0, len(texts), 1024):
+                got = [x for x, _ in bpe.encode_batch(texts[at : at + 1024].to_pylist())]
+                part = batch.slice(at, 1024)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.list_(pa.int32()))], names=[*part.schema.names, ids])
+        bpe.known.clear()
 
     return docs.select(*kept).mapInArrow(run, schema)
 
@@ -240,11 +316,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = codec(path)
         for batch in batches:
             texts, rows = batch.column(1), []
-            for at in range(0, len(texts), 256):
-                for ids, shown in bpe.encode_batch(texts[at : at + 256].to_pylist()):
+            for at in range(0, len(texts), 2048):
+                for ids, shown in bpe.encode_batch(texts[at : at + 2048].to_pylist()):
                     rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=DIGEST.names)
+        bpe.known.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
 
