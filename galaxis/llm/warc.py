@@ -88,7 +88,8 @@ ARCHIVES = T.StructType([T.StructField("name", T.StringType()), T.StructField("n
 def write(pages: DataFrame, folder: str, min_bytes: int = 1000) -> list[str]:
     """Write the archives of pages into a folder of the shared store; returns their names."""
     typed = with_types(pages, min_bytes)
-    sample = pages.orderBy(F.xxhash64("page_id", "url")).limit(SAMPLE).select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
+    sample = pages.limit(SAMPLE).select(  # of the first files: no pass over all
+"page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
     payloads = [(r.page_id, r.url, (r.html or "").encode()) for r in sample]
     dictionary = train([record(i, url, data, len(data), hashlib.sha1(data).digest()) for i, url, data in payloads])
 
