@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 from galaxis.llm._store import pieces, read, remove, saved, utf8
 from galaxis.llm._words import LOWER, Words, mix, rolling
 
-PIECE_BYTES, FLUSH_KEYS, KEYS_PER_TASK = 4 << 20, 1 << 20, 1_500_000
+PIECE_BYTES, FLUSH_KEYS, KEYS_PER_TASK = 1 << 20, 1 << 20, 1_500_000
 #: The most document ids that are broadcast to fetch or drop documents; more are joined by a shuffle.
 MOST_BROADCAST = 400_000
 NO_ID = 2**63 - 1

@@ -26,7 +26,7 @@ from galaxis.llm._words import Words, mix, rolling, spans_hash
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 MEASURES = T.StructType(
     [T.StructField(k, T.LongType()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
