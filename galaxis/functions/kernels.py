@@ -157,15 +157,10 @@ def neighbour_chain(d: np.ndarray, kind: str) -> list[tuple[int, int, float, int
 
 def cut(merges: list[tuple[int, int, float, int]], n: int, n_clusters: int | None = None, threshold: float | None = None) -> np.ndarray:
     """Labels after the first n - n_clusters merges, or after those below the threshold; numbered by first appearance."""
-    kept = merges[: n - n_clusters] if n_clusters is not None else [m for m in merges if m[2] < threshold]
     union = Union(n + len(merges))
-    ids = {m: n + k for k, m in enumerate(merges)} if len(set(merges)) == len(merges) else None
-    for k, m in enumerate(merges):
-        if k >= len(kept) and n_clusters is not None or threshold is not None and not m[2] < threshold:
-            continue
-        top = n + k if ids is None else ids[m]
-        union.root[union.find(m[0])] = top
-        union.root[union.find(m[1])] = top
+    for k, (a, b, d, _) in enumerate(merges):
+        if k < n - n_clusters if n_clusters is not None else d < threshold:
+            union.root[union.find(a)] = union.root[union.find(b)] = n + k
     label: dict[int, int] = {}
     return np.array([label.setdefault(union.find(i), len(label)) for i in range(n)], np.int64)
 

@@ -14,7 +14,7 @@ def select_medoids(points: DataFrame, labels: DataFrame, n_clusters: int, metric
     at an infinite distance. Labels outside the range, noise among them, take no part."""
     inside = labels.where((F.col("label") >= 0) & (F.col("label") < n_clusters)).select("id", F.col("label").cast("int").alias("label"))
     means = cluster_means(points, inside).select("label", "mean")
-    rows = points.join(inside, "id").join(F.broadcast(means), "label")
+    rows = points.join(inside, "id").join(means, "label")
     best = rows.groupBy("label").agg(F.min(F.struct(vectors.distance("features", "mean", metric).alias("distance"), "id")).alias("m"))
     every = points.sparkSession.range(n_clusters).select(F.col("id").cast("int").alias("label"))
     out = every.join(best, "label", "left")

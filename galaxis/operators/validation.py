@@ -65,6 +65,7 @@ def silhouette_samples(points: DataFrame, labels: DataFrame, metric: str = "eucl
                 (a, x), (b, y) = graph.unpack(a, x), graph.unpack(b, y)
                 names, place = np.unique(y[:, -1].astype(np.int32), return_inverse=True)
                 d = kernels.distances(x, y[:, :-1], metric)
+                d[a[:, None] == b[None, :]] = 0  # also where a small constant keeps a cosine from it
                 sums = d @ np.eye(len(names))[place]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, len(names))), pa.array(np.tile(names, len(a))), pa.array(sums.ravel())], names=SUMS.names)
 
@@ -98,7 +99,7 @@ def dispersion(points: DataFrame, labels: DataFrame, metric: str = "euclidean")
     means = centroids(points, labels)
     if metric == "cosine":
         means = means.withColumn("mean", vectors.normalized("mean"))
-    rows = points.join(without_noise(labels), "id").join(F.broadcast(means), "label")
+    rows = points.join(without_noise(labels), "id").join(means, "label")
     spread = rows.groupBy("label").agg(F.first("mean").alias("mean"), F.count("*").alias("n"), F.avg(vectors.distance("features", "mean", metric)).alias("s"))
     return spread.select("label", "mean", F.when(F.col("n") == 1, 0.0).otherwise(F.col("s")).alias("spread"))
 
@@ -130,7 +131,7 @@ def sums_of_squares(points: DataFrame, labels: DataFrame) -> DataFrame:
     means = cluster_means(points, without_noise(labels))
     whole = rows.select(F.posexplode("features").alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))
     whole = whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("center"))
-    within = rows.join(F.broadcast(means.select("label", "mean")), "label").agg(F.count("*").alias("n"), F.sum(vectors.squared_euclidean("features", "mean")).alias("wss"))
+    within = rows.join(means.select("label", "mean"), "label").agg(F.count("*").alias("n"), F.sum(vectors.squared_euclidean("features", "mean")).alias("wss"))
     between = means.join(F.broadcast(whole)).agg(F.count("*").alias("k"), F.sum(F.col("size") * vectors.squared_euclidean("mean", "center")).alias("bss"))
     return within.join(F.broadcast(between)).select("n", "k", "wss", "bss")
 
@@ -153,7 +154,7 @@ davies_bouldin_efficient, calinski_harabasz_efficient = davies_bouldin, calinski
 def wss(points: DataFrame, labels: DataFrame) -> float:
     """The sum of squared distances to the means of labels, noise being a group like any other."""
     means = cluster_means(points, labels).select("label", "mean")
-    return points.join(labels, "id").join(F.broadcast(means), "label").agg(F.sum(vectors.squared_euclidean("features", "mean"))).first()[0]
+    return points.join(labels, "id").join(means, "label").agg(F.sum(vectors.squared_euclidean("features", "mean"))).first()[0]
 
 
 def contingency(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def hdbscan_condensed_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("spanning_tree", None)
 def spanning_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The spanning tree of the first 200 embeddings by rounds of joins: a small graph whose tree is the feature."""
+    """The spanning forest of the neighbour graph of the embeddings."""
     points = embeddings(spark, sf_dir)
     return graph.spanning_forest(graph.nearest_neighbours(points, 10, include_self=False)).withColumn("d", r6("d"))
 

@@ -81,10 +81,11 @@ def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-@query("feature_summary", " UNION ALL ".join(f"SELECT {i}::INTEGER AS pos, count(*) AS n, round(min({c}), 6) AS low, round(avg({c}), 6) AS mean, round(max({c}), 6) AS high, round(stddev_pop({c}), 6) AS deviation FROM lineitem" for i, c in enumerate(LINE)))
+@query("feature_summary", " UNION ALL ".join(f"SELECT {i}::INTEGER AS pos, count(*) AS n, round(min({c}), 3) AS low, round(avg({c}), 3) AS mean, round(max({c}), 3) AS high, round(stddev_pop({c}), 3) AS deviation FROM lineitem" for i, c in enumerate(LINE)))
 def feature_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.posexplode(F.array(*LINE)).alias("pos", "x"))
-    return rows.groupBy("pos").agg(F.count("*").alias("n"), r6(F.min("x")).alias("low"), r6(F.avg("x")).alias("mean"), r6(F.max("x")).alias("high"), r6(F.stddev_pop("x")).alias("deviation"))
+    parts = {"low": F.min("x"), "mean": F.avg("x"), "high": F.max("x"), "deviation": F.stddev_pop("x")}
+    return rows.groupBy("pos").agg(F.count("*").alias("n"), *(F.round(v, 3).alias(k) for k, v in parts.items()))
 
 
 @query(
@@ -188,9 +189,9 @@ def _modulo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truth(spark, sf_dir).select("id", (F.col("id") % 10).cast("int").alias("label"))
 
 
-@query("contingency_cube", "SELECT label AS t, (vec_id % 10)::INTEGER AS p, count(*) AS n, grouping(label, (vec_id % 10)::INTEGER)::INTEGER AS level FROM embeddings GROUP BY CUBE (label, (vec_id % 10)::INTEGER)")
+@query("contingency_cube", "SELECT coalesce(label, -99) AS t, coalesce((vec_id % 10)::INTEGER, -99) AS p, count(*) AS n, grouping(label, (vec_id % 10)::INTEGER)::INTEGER AS level FROM embeddings GROUP BY CUBE (label, (vec_id % 10)::INTEGER)")
 def contingency_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.contingency(truth(spark, sf_dir), _modulo(spark, sf_dir))
+    return validation.contingency(truth(spark, sf_dir), _modulo(spark, sf_dir)).fillna(-99, ["t", "p"])
 
 
 @query("ari", f"WITH {CUBE}, s AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM c) AS i, (SELECT sum(n * (n - 1) / 2) FROM r) AS a, (SELECT sum(n * (n - 1) / 2) FROM k) AS b, (SELECT n * (n - 1) / 2 FROM n) AS m) SELECT round((i - a * b / m) / ((a + b) / 2 - a * b / m), 6) AS ari FROM s")
@@ -329,10 +330,14 @@ def kmeans_pp_first_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.points(spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "id", LINE)
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return frames.points(rows.withColumn("l_extendedprice", F.col("l_extendedprice") / 1000), "id", LINE)
 
 
-@query("pca_covariance", " UNION ALL ".join(f"SELECT {i}::BIGINT AS i, {j}::BIGINT AS j, round(covar_samp({a}, {b}), 4) AS c FROM lineitem" for i, a in enumerate(LINE) for j, b in enumerate(LINE)))
+PRICED = [f"{c} / 1000" if c == "l_extendedprice" else c for c in LINE]
+
+
+@query("pca_covariance", " UNION ALL ".join(f"SELECT {i}::BIGINT AS i, {j}::BIGINT AS j, round(covar_samp({a}, {b}), 4) AS c FROM lineitem" for i, a in enumerate(PRICED) for j, b in enumerate(PRICED)))
 def pca_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, cov = mean_and_covariance(_line_points(spark, sf_dir))
     return spark.createDataFrame([(i, j, round(float(cov[i, j]), 4)) for i in range(4) for j in range(4)], "i long, j long, c double")
@@ -424,7 +429,7 @@ def som_decay_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, *(round(c(t, 50), 6) for c in curves)) for t in range(50)], "epoch long, linear double, exponential double, inverse double")
 
 
-@query("som_neighborhood_values", "SELECT t AS step, round(exp(-(t / 4.0) ** 2 / 4.5), 6) AS gaussian, CASE WHEN t / 4.0 <= 1.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS bubble, round(2 * (1 - (t / 6.0) ** 2) * exp(-(t / 6.0) ** 2 / 2), 6) AS mexican_hat FROM range(20) r(t)")
+@query("som_neighborhood_values", "SELECT t AS step, round(exp(-1 * (t / 4.0) ** 2 / 4.5), 6) AS gaussian, CASE WHEN t / 4.0 <= 1.5 THEN 1.0 ELSE 0.0 END::DOUBLE AS bubble, round(2 * (1 - (t / 6.0) ** 2) * exp(-1 * (t / 6.0) ** 2 / 2), 6) AS mexican_hat FROM range(20) r(t)")
 def som_neighborhood_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("id") / 4.0
     return spark.range(20).select(F.col("id").alias("step"), *(r6(vectors.neighborhood(k, d, 1.5)).alias(k) for k in ("gaussian", "bubble", "mexican_hat")))
