@@ -18,6 +18,7 @@ as null; rows that repeat an id stand side by side, ordered by their frames' byt
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import io
 import json
@@ -45,31 +46,43 @@ NO_ID = -(2**63)
 KNOWN = 400_000
 #: The sample that the dictionary is trained on, and the characters used of a document of it.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 16_000, 1 << 16
-DOCS_PER_SHARD, MOST_SHARDS, LEVEL = 8192, 50_000, 3
+DOCS_PER_SHARD, MOST_SHARDS, LEVEL = 8192, 50_000, 1
 _encoders: dict[str, WordEncoder] = {}
 
 #: The parts of the vocabulary file that WordEncoder's own splitting stands for.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+#: No match of it holds white space or looks at it, so a text may be split at white space first.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: What str.split() takes for white space and Unicode doesn't.
+ODD_SPACE = re.compile("[\x1c-\x1f]").search
+
+
 class WordEncoder:
-    """Ids by the tokenizers library, which sees each distinct word once: texts are normalised and split here as the
-    vocabulary file says, and words are looked up. Texts with strings of special tokens, and vocabularies of another
-    make, go to the library whole."""
+    """Ids by the tokenizers library, which sees each distinct chunk between white space once: texts are normalised as
+    the vocabulary file says and split, and chunks are looked up. Texts with strings of special tokens, and vocabularies
+    of another make, go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.library, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.words):
+            t.no_truncation()
+            t.no_padding()
+        # The same model for text that is normalised and split already, with a blank between words.
+        self.words.normalizer = normalizers.Sequence([])
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        self.by_word = spec["normalizer"] == NORMALIZER and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0].get("behavior") == "Removed" and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        self.last[[i for token, i in self.library.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        self.by_word = bool(suffix) and spec["normalizer"] == NORMALIZER and steps[0].get("pattern") == {"Regex": PATTERN} and steps[0].get("behavior") == "Removed" and [s["type"] for s in steps] == ["Split", "ByteLevel"]
         letters, numbers = _class("L"), _class("N")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+").findall
         added = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
@@ -79,6 +92,21 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of chunks without white space, 2000 of them as one text: the ids that end a word, and the number of words
+        of each chunk, tell them apart again."""
+        for at in range(0, len(chunks), 2000):
+            part = chunks[at : at + 2000]
+            split = [(c,) if c.isalpha() else self.split(c) for c in part]
+            ids = np.array(self.words.encode_batch_fast([" ".join(chain.from_iterable(split))], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            words = np.cumsum([len(s) for s in split])
+            if len(ends) != words[-1]:
+                yield from zip(part, self._ids(part), strict=True)
+                continue
+            data, ends = ids.astype(f"<u{self.width}").tobytes(), (ends[words - 1] * self.width).tolist()
+            yield from zip(part, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
+
     @staticmethod
     def normal(text: str) -> str:
         text = unicodedata.normalize("NFC", text)
@@ -86,13 +114,38 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian."""
-        split = [None if not self.by_word or self.special(t or "") else self.split(self.normal(t or "")) for t in texts]
+        gc.disable()  # many small objects are made, and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > KNOWN:
             self.known.clear()
-        fresh = list({*chain.from_iterable(s for s in split if s)} - self.known.keys())
-        self.known.update(zip(fresh, self._ids(fresh), strict=True))
-        get = self.known.__getitem__
-        return [self._ids([t or ""])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        get, out, lacking = self.known.get, [], []
+        for t in texts:
+            t = t or ""
+            if not self.by_word or self.special(t) or ODD_SPACE(t):
+                out.append([self._ids([t])[0]])
+                continue
+            chunks = self.normal(t).split()
+            found = list(map(get, chunks))
+            if None in found:
+                lacking.append((chunks, found))
+            out.append(found)
+        fresh: dict[str, None] = {}
+        places = []
+        for chunks, found in lacking:
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                fresh[chunks[at]] = None
+                places.append((found, at, chunks[at]))
+        self.known.update(self._chunks(list(fresh)))
+        for found, at, chunk in places:
+            found[at] = get(chunk)
+        return list(map(b"".join, out))
 
 
 def encoder(path: str) -> WordEncoder:
@@ -145,7 +198,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, doc_id
     n = min(MOST_SHARDS, math.ceil(rows / per_shard))
     bounds = docs.approxQuantile("doc", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
     bounds = np.unique(np.array(bounds, np.int64))
-    sample = docs.orderBy(F.xxhash64("doc", F.length("text"))).limit(SAMPLE).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    sample = docs.limit(SAMPLE).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()  # of the first files: no pass over all
     dictionary = train(encoder(vocabulary).encode([r.text for r in sample]))
     digest = hashlib.sha256(dictionary).digest()
     write_file(folder, _name(digest), [dictionary])
@@ -162,6 +215,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, doc_id
                 data = [x + end for x in own.encode(part.column(1).to_pylist())]
                 shards = np.searchsorted(bounds, np.array(ids, np.int64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(ids, pa.int64()), pa.array([len(x) // own.width for x in data], pa.int32()), pa.array([pack(x) for x in data], pa.binary())], names=FRAMES.names)
+        own.known.clear()
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
