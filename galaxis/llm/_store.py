@@ -17,7 +17,7 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not sc.master.startswith("local["):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not (base := getattr(shared_root, "own", None)):
             base = shared_root.own = f"file://{tempfile.mkdtemp(prefix='galaxis-')}"

@@ -92,6 +92,7 @@ class ByteBPE:
         self.bytes.update({i: s.encode() for s, i in self.special.items()})
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = splitter().findall
+
     def _merges(self, start: list[int], merges: list[tuple[int, int, int]]) -> None:
         """start: the symbol of each byte; merges: (left, right, merged) in ascending rank."""
         self.start = np.array(start, np.int64)

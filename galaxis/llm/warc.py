@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import new_folder, open_file, read, write_file
+from galaxis.llm._store import new_folder, open_file, read, saved, write_file
 
 #: Fixed value: the skippable frame's number for dictionaries in archives.
 SKIPPABLE = 0x184D2A5D
@@ -75,7 +75,7 @@ def with_types(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
         hashed.where(F.octet_length(payload) >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first_id"))
         .where((F.col("n") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id")
     )
-    repeated = repeated.checkpoint()
+    repeated, _ = saved(repeated, "repeated")
     if repeated.count() <= MOST_BROADCAST:
         repeated = F.broadcast(repeated)
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
@@ -88,8 +88,8 @@ ARCHIVES = T.StructType([T.StructField("name", T.StringType()), T.StructField("n
 def write(pages: DataFrame, folder: str, min_bytes: int = 1000) -> list[str]:
     """Write the archives of pages into a folder of the shared store; returns their names."""
     typed = with_types(pages, min_bytes)
-    sample = pages.limit(SAMPLE).select(  # of the first files: no pass over all
-"page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
+    # Of the first files: no pass over all.
+    sample = pages.limit(SAMPLE).select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
     payloads = [(r.page_id, r.url, (r.html or "").encode()) for r in sample]
     dictionary = train([record(i, url, data, len(data), hashlib.sha1(data).digest()) for i, url, data in payloads])
 
