@@ -172,6 +172,7 @@ def components(nodes: DataFrame, edges: DataFrame, most_local: int = MOST_LOCAL)
     Graphs of up to most_local nodes and edges are gathered. Beyond that labels are taken from neighbours and then from
     the labels' own labels, so the number of steps grows with the logarithm of paths' lengths; each step is a
     checkpoint, which survives the loss of executors."""
+    frames.checkpoints(nodes.sparkSession)
     nodes, edges = nodes.select("id").distinct().checkpoint(), edges.select("i", "j").where("i <> j").distinct().checkpoint()
     if nodes.count() <= most_local and edges.count() <= most_local:
         ids = np.sort(nodes.toArrow().column("id").to_numpy())
@@ -209,8 +210,9 @@ def spanning_forest(edges: DataFrame, most_local: int = MOST_LOCAL) -> DataFrame
 
     Up to most_local edges are gathered and taken in order of weight. Beyond that each component takes its least edge by
     rounds of joins; a round at least halves the number of components."""
-    edges = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d").where("i < j").checkpoint()
     spark = edges.sparkSession
+    frames.checkpoints(spark)
+    edges = edges.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "d").where("i < j").checkpoint()
     if edges.count() <= most_local:
         table = edges.toArrow()
         i, j, d = (table.column(c).to_numpy() for c in "ijd")

@@ -6,6 +6,7 @@ affinities are long frames (i, j, d).
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 import numpy as np
@@ -20,6 +21,16 @@ MOST_VALUES = 1 << 26
 POINTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """See that checkpoint() has a folder: the one in spark.checkpoint.dir, or one of this machine for a local master."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="galaxis-"))
+
+
 def points(frame: DataFrame, id_column: str, features: str | Sequence[str]) -> DataFrame:
     """A point frame from an array column, an ML vector column or several numeric columns."""
     if isinstance(features, str):
