@@ -509,7 +509,8 @@ def _fetch(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, likeness: Likeness | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, node, component) of each document; ids are NO_ID for null."""
+    """(id, n, node, component, root) of each document; ids are NO_ID for null. component is the least id, root the least
+    node: components of their own may have the same id, but not the same root."""
     likeness = likeness or Likeness()
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
@@ -529,12 +530,12 @@ def linked_components(docs: DataFrame, likeness: Likeness | None = None, doc_id:
         members, place = saved(blocks.repartition(parts, "p").mapInArrow(_meet, MEMBERS).distinct(), "members")
         comp = _rounds(docs, classes, members, likeness)
     if comp is None:
-        named = classes.select("node", F.col("rep").alias("component"))
+        named = classes.select("node", F.col("rep").alias("component"), F.col("node").alias("root"))
     else:
         mapped = classes.select("node", "rep").join(comp, "node", "left").withColumn("c", F.coalesce("c", "node"))
         least = mapped.groupBy("c").agg(F.min("rep").alias("component"))
-        named = mapped.join(least, "c").select("node", "component")
-    out, _ = saved(sets.select("id", "n", "node").join(named, "node", "left").select("id", "n", "node", F.coalesce("component", "id").alias("component")), "components")
+        named = mapped.join(least, "c").select("node", "component", F.col("c").alias("root"))
+    out, _ = saved(sets.select("id", "n", "node").join(named, "node", "left").select("id", "n", "node", F.coalesce("component", "id").alias("component"), "root"), "components")
     if place:
         remove(spark, place)
     return out
@@ -545,20 +546,38 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(read(spark, sf_dir, "documents")).select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
 
 
+def with_node(docs: DataFrame, likeness: Likeness) -> DataFrame:
+    """docs and `node`, the name of the text's set as in describe()."""
+    schema = T.StructType([*docs.schema, T.StructField("node", T.LongType())])
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = [_node(s) if len(s) else None for s in _sets(batch.column(at), likeness.words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of near copies (five words, 0.8) the document with the least id stays; of rows
-    that repeat an id and a set, one."""
+    """Pipeline stage: of each component of near copies (five words, 0.8) one row stays: of those with the least id that
+    with the least node, and of rows with one id and node the least row. Rows with empty sets are in no component and
+    all stay. Null ids are larger than all others."""
+    likeness = Likeness(5, 80)
     marked = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    found = linked_components(docs, Likeness(5, 80))
+    found = linked_components(docs, likeness)
     gone = found.where("component <> id").select("id")
-    # An id that repeats with one set, or within one component, is rare; those few rows are told apart one by one.
-    again = found.where("component = id AND node IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
-    again, _ = saved(again, "again")
-    rest = _fetch(marked, gone, "left_anti")
+    # Null ids, and ids that repeat, don't name a row: their rows are decided by id and node.
+    again, _ = saved(found.groupBy("id").count().where("count > 1").select("id"), "again")
     if again.isEmpty():
-        return rest.select(*docs.columns)
-    once = _fetch(rest, again, "left_semi").dropDuplicates(["id"])
-    return _fetch(rest, again, "left_anti").unionByName(once).select(*docs.columns)
+        return _fetch(marked, gone, "left_anti").select(*docs.columns)
+    least = _fetch(found.where("component = id AND node IS NOT NULL"), again, "left_semi")
+    least = least.groupBy("root").agg(F.min("id").alias("id"), F.min("node").alias("node")).select("id", "node")
+    rows = with_node(_fetch(marked, again, "left_semi"), likeness)
+    once = rows.where("node IS NOT NULL").groupBy("id", "node").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    once = once.join(least, ["id", "node"], "left_semi").select("row.*")
+    rest = _fetch(_fetch(marked, again, "left_anti"), gone, "left_anti").select(*docs.columns)
+    return rest.unionByName(rows.where("node IS NULL").select(*docs.columns)).unionByName(once)
 
 
 #: DuckDB: all pairs that share a shingle, and a recursive walk over the links.

@@ -113,3 +113,31 @@ def test_many_near_copies_and_stage(spark):
     kept = {i for i, _, c in brute([r[:2] for r in rows], 5, 80) if c == i}
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == sorted(kept)
     assert nj.linked_components(docs.limit(0)).count() == 0 and nj.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_decides_by_row_where_ids_are_null_or_repeat(spark):
+    rng = random.Random(12)
+
+    def fresh():
+        return ["w%d" % rng.randrange(10**6) for _ in range(40)]
+
+    def near(words):
+        return " ".join([*words[:-1], "x%d" % rng.randrange(10**6)])
+
+    one, two, three, four, five, six = (fresh() for _ in range(6))
+    own = [" ".join(fresh()) for _ in range(5)]
+    rows = [(1, " ".join(one), "en"), (None, near(one), "en"), *((None, x, "en") for x in own[:3])]  # one null id is a near copy
+    rows += [(None, " ".join(two), "b"), (None, near(two), "a"), (None, " ".join(three), "b"), (None, " ".join(three), "a")]
+    rows += [(7, own[3], "en"), (7, own[4], "en"), (7, near(one), "en"), (8, " ".join(four), "en"), (8, near(four), "en"), (9, near(four), "en")]
+    rows += [(10, " ".join(five), "en"), (11, near(five), "en"), (11, " ".join(six), "en"), (12, near(six), "en")]
+    rows += [(None, None, "en"), (None, "", "en"), (7, "", "en"), (7, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = [tuple(r) for r in nj.drop_near_copies(spark, docs, "").collect()]
+    count = lambda doc_id, *texts: sum(g[0] == doc_id and g[1] in texts for g in got)
+    assert set(got) <= set(rows) and sorted(g[1] for g in got if g[0] is None and g[1] in own) == sorted(own[:3])
+    assert count(1, rows[0][1]) == 1 and count(None, rows[1][1]) == 0
+    assert count(None, rows[5][1], rows[6][1]) == 1 and [g for g in got if g[1] == " ".join(three)] == [(None, " ".join(three), "a")]
+    assert sorted(g[1] for g in got if g[0] == 7 and g[1]) == sorted(own[3:])
+    assert count(8, rows[12][1], rows[13][1]) == 1 and count(9, rows[14][1]) == 0
+    assert sorted(g[0] for g in got if g[0] in (10, 11, 12)) == [10, 11] and count(11, " ".join(six)) == 1
+    assert len([g for g in got if not g[1]]) == 4 and len(got) == 15
