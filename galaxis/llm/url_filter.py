@@ -1,15 +1,15 @@
 """URL filtering by a rule list and by mined association rules.
 
 A list of rules (host and start of a path) decides first: a rule fits its host and all subdomains, and the longest that
-fits wins. Labels are the list's verdicts, and for URLs that it leaves open the labels of a table. From these Spark's
-FP-growth mines combinations of URL tokens; the ones are kept that reach a support and a confidence and that contain no
-shorter kept combination. They judge the URLs that the list leaves open, through an inverted index from tokens to rules:
-a URL is blocked if some rule for "block" has all its tokens among the URL's.
+fits wins. Labels are the list's verdicts, and for URLs that it leaves open the labels of a table. From these
+combinations of URL tokens are counted, level by level; the ones are kept that reach a support and a confidence and that
+contain no shorter kept combination. (FP-growth makes all subsets of what is frequent, of any length; levels end at the
+tokens that a rule may have.) They judge the URLs that the list leaves open, through an inverted index from tokens to
+rules: a URL is blocked if some rule for "block" has all its tokens among the URL's.
 
 Defined cases: a null url, or one without "://", has an empty host and path, no tokens and the verdict "allow"; repeated
 rows are judged one by one; without labelled URLs, or with labels of one kind, there may be no rules: then what the list
-leaves open is allowed. Mining uses all labelled URLs up to `sample`, and beyond that the `sample` first in the order of
-a hash; judging covers every row.
+leaves open is allowed. Mining counts all labelled URLs and judging covers every row.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,12 +81,11 @@ def with_tokens(urls: DataFrame, url: str = "url") -> DataFrame:
 class Mining:
     """support: the least share of labelled URLs that a combination with its label has; confidence: of the URLs with the
     combination, the least share with the label; least_rows: the least number of URLs that a rule rests on. The bounds
-    on sample, tokens of a rule and rules bound the model."""
+    on tokens of a rule and rules bound the model."""
 
     least_rows: int = 20
     support: float = 0.002
     confidence: float = 0.9
-    sample: int = 200_000
     most_tokens: int = 3
     most_rules: int = 20_000
 
@@ -97,32 +98,76 @@ class Rule:
     support: float
 
 
-def mine(labelled: DataFrame, mining: Mining | None = None) -> list[Rule]:
-    """labelled: tokens and label. Rules without a kept subset for the same label, in a fixed order."""
-    from pyspark.ml.fpm import FPGrowth
+COMBINED = T.StructType([T.StructField("items", T.ArrayType(T.IntegerType())), T.StructField("total", T.LongType()), T.StructField("hits", T.LongType())])
+
+
+def _combined(label: str, size: int, number: dict[str, int], open_: set[tuple[int, ...]]):
+    """Combinations of `size` tokens, all of whose smaller ones are in open_, with the URLs that have them in a batch of
+    (tokens, label, count): all, and those with the label."""
 
+    def of(names: list[str]) -> Iterator[tuple[int, ...]]:
+        have = sorted({number[x] for x in names if x in number})
+        for c in combinations(have, size - 1):
+            if c in open_:
+                for x in have:
+                    if x > c[-1] and all(c[:i] + c[i + 1 :] + (x,) in open_ for i in range(size - 1)):
+                        yield (*c, x)
+
+    def out(counts: dict[tuple[int, ...], list[int]]) -> pa.RecordBatch:
+        total, hits = zip(*counts.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array(total, pa.int64()), pa.array(hits, pa.int64())], names=COMBINED.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, ...], list[int]] = {}
+        for batch in batches:
+            for names, own, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for c in of(names):
+                    at = counts.setdefault(c, [0, 0])
+                    at[0] += n
+                    at[1] += n if own == label else 0
+                if len(counts) >= 100_000:
+                    yield out(counts)
+                    counts = {}
+        if counts:
+            yield out(counts)
+
+    return run
+
+
+def mine(labelled: DataFrame, mining: Mining | None = None) -> list[Rule]:
+    """labelled: tokens and label. Rules without a kept subset for the same label, in a fixed order. All rows count; what
+    the driver holds are the combinations that reach the support."""
     mining = mining or Mining()
-    rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).select("tokens", "label")
-    rows = rows.orderBy(F.xxhash64("tokens", "label")).limit(mining.sample).select(F.array_append("tokens", F.concat(F.lit("label:"), "label")).alias("items"))
+    rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).groupBy("tokens", "label").count()
     rows, _ = saved(rows, "labelled")
-    n = rows.count()
+    by_label = {r.label: r.n for r in rows.groupBy("label").agg(F.sum("count").alias("n")).collect()}
+    n = sum(by_label.values())
     if n < mining.least_rows or not n:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(mining.support, mining.least_rows / n), minConfidence=mining.confidence).fit(rows)
-    found = (
-        model.associationRules.where(F.col("consequent")[0].startswith("label:") & (F.size("antecedent") <= mining.most_tokens))
-        .select(F.sort_array("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 1000).alias("label"), "confidence", "support")
-        .orderBy(F.size("tokens"), F.desc("support"), "tokens").limit(mining.most_rules).collect()
-    )
+    least = max(1, mining.least_rows, ceil(mining.support * n))
     kept: list[Rule] = []
-    have: set[tuple[str, frozenset]] = set()
-    for r in found:
-        names = list(r.tokens)
-        subsets = [frozenset(x for k, x in enumerate(names) if mask >> k & 1) for mask in range(1, 2 ** len(names))]
-        if not any((r.label, s) in have for s in subsets):
-            have.add((r.label, frozenset(names)))
-            kept.append(Rule(tuple(names), r.label, r.confidence, r.support))
-    return kept
+    for label in sorted(by_label):
+        number: dict[str, int] = {}
+        open_: set[tuple[int, ...]] = set()
+        for size in range(1, mining.most_tokens + 1):
+            if size == 1:
+                each = rows.select(F.explode(F.array_distinct("tokens")).alias("items"), F.col("count").alias("total"), F.when(F.col("label") == label, F.col("count")).otherwise(0).alias("hits"))
+            else:
+                each = rows.select("tokens", "label", "count").mapInArrow(_combined(label, size, number, open_), COMBINED)
+            found = each.groupBy("items").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits")).where(F.col("hits") >= least).collect()
+            names = {i: x for x, i in number.items()}
+            open_ = set()
+            for r in found:
+                if r.hits / r.total >= mining.confidence:
+                    kept.append(Rule((r.items,) if size == 1 else tuple(sorted(names[i] for i in r.items)), label, r.hits / r.total, r.hits / n))
+                elif size == 1:
+                    open_.add((number.setdefault(r.items, len(number)),))
+                else:
+                    open_.add(tuple(r.items))
+            if len(open_) <= size:
+                break
+    kept.sort(key=lambda r: (len(r.tokens), -r.support, r.tokens, r.label))
+    return kept[: mining.most_rules]
 
 
 class Index:

@@ -66,3 +66,11 @@ def test_mined_rules_judge_open_urls(spark):
     got = uf.judge(urls, uf.mine(labelled)).collect()
     assert all((r.mined_verdict == "block") == ("spam" in r.url) for r in got)
     assert uf.mine(labelled.limit(0)) == []
+
+
+def test_all_labelled_rows_count_however_many(spark):
+    F = uf.F
+    kind = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), F.col("id") % 500))
+    rows = spark.range(240_000).select(F.array(kind).alias("tokens"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("label"))
+    hot = [r for r in uf.mine(rows) if r.tokens == ("hot",)]
+    assert [(r.label, r.confidence, r.support) for r in hot] == [("block", 1.0, 80_000 / 240_000)]
