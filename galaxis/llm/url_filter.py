@@ -21,6 +21,7 @@ from itertools import combinations
 from math import ceil
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,19 +49,24 @@ def listed(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Co
     return (F.lit(None).cast("string"), F.lit(None).cast("string")) if rule is None else (rule, verdict)
 
 
+def named(name: str) -> str:
+    """A name of more than 64 characters as its start and a hash of all of it; hosts, paths and keys have no # of their own."""
+    return name if len(name) <= 64 else f"{name[:64]}#{xxhash.xxh3_128_hexdigest(name.encode('utf-8', 'surrogatepass'))}"
+
+
 def tokens(url: str | None, host: str, path: str) -> list[str]:
-    """The tokens of a URL: scheme, up to four labels and the last two of its host, up to three names of its path with
-    numbers as N, a file's ending, and up to three keys of its query."""
+    """The tokens of a URL: scheme, all labels and the last two of its host, all names of its path with numbers as N, a
+    file's ending, and all keys of its query."""
     if not host:
         return []
     labels = [x for x in host.split(".") if x]
-    out = ["scheme:" + url[: url.index("://")].lower()] + [f"host:{x}" for x in labels[-4:]] + ["site:" + ".".join(labels[-2:])]
+    out = ["scheme:" + named(url[: url.index("://")].lower())] + [f"host:{named(x)}" for x in labels] + ["site:" + named(".".join(labels[-2:]))]
     names = [x for x in path.split("/") if x]
-    out += [f"path:{re.sub('[0-9]+', 'N', x.lower())[:64]}" for x in names[:3]]
+    out += [f"path:{named(re.sub('[0-9]+', 'N', x.lower()))}" for x in names]
     if names and "." in names[-1]:
-        out.append("ending:" + names[-1].rpartition(".")[2].lower()[:16])
+        out.append("ending:" + named(names[-1].rpartition(".")[2].lower()))
     query = url.partition("?")[2].partition("#")[0]
-    out += [f"key:{x.partition('=')[0][:64]}" for x in query.split("&")[:3] if x]
+    out += [f"key:{named(x.partition('=')[0])}" for x in query.split("&") if x]
     return sorted(set(out))
 
 

@@ -74,3 +74,19 @@ def test_all_labelled_rows_count_however_many(spark):
     rows = spark.range(240_000).select(F.array(kind).alias("tokens"), F.when(F.col("id") % 3 == 0, "block").otherwise("allow").alias("label"))
     hot = [r for r in uf.mine(rows) if r.tokens == ("hot",)]
     assert [(r.label, r.confidence, r.support) for r in hot] == [("block", 1.0, 80_000 / 240_000)]
+
+
+def test_all_parts_of_a_url_are_tokens(spark):
+    long = "a" * 64
+    parts = {
+        "http://x.org/2024/05/12/{}": ("casino-bonus", "garden-notes"),
+        "http://{}.a.b.c.d.org/z": ("spam", "fine"),
+        "http://y.org/?a=1&b=2&c=3&{}=4": ("aff", "page"),
+        "http://z.org/{}/1": (long + "-buy", long + "-read"),
+        "http://w.org/f.{}": ("a" * 16 + "exe", "a" * 16 + "txt"),
+    }
+    for form, (bad, good) in parts.items():
+        rows = [(2 * i + k, form.format(x)) for i in range(60) for k, x in enumerate((bad, good))]
+        labels = spark.createDataFrame([(i, "allow" if i % 2 else "block") for i in range(80)], "page_id long, label string")
+        got = uf.filtered(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=()).collect()
+        assert len(got) == 120 and all(r.verdict == ("allow" if r.page_id % 2 else "block") for r in got), form
