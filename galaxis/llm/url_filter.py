@@ -86,14 +86,13 @@ def with_tokens(urls: DataFrame, url: str = "url") -> DataFrame:
 @dataclass(frozen=True)
 class Mining:
     """support: the least share of labelled URLs that a combination with its label has; confidence: of the URLs with the
-    combination, the least share with the label; least_rows: the least number of URLs that a rule rests on. The bounds
-    on tokens of a rule and rules bound the model."""
+    combination, the least share with the label; least_rows: the least number of URLs that a rule rests on. Support
+    and most_tokens bound the model; no rule is cut off."""
 
     least_rows: int = 20
     support: float = 0.002
     confidence: float = 0.9
     most_tokens: int = 3
-    most_rules: int = 20_000
 
 
 @dataclass(frozen=True)
@@ -140,9 +139,9 @@ def _combined(label: str, size: int, number: dict[str, int], open_: set[tuple[in
     return run
 
 
-def mine(labelled: DataFrame, mining: Mining | None = None) -> list[Rule]:
-    """labelled: tokens and label. Rules without a kept subset for the same label, in a fixed order. All rows count; what
-    the driver holds are the combinations that reach the support."""
+def mine(labelled: DataFrame, mining: Mining | None = None, only: str | None = None) -> list[Rule]:
+    """labelled: tokens and label. Rules (for one label only) without a kept subset for the same label, in a fixed order.
+    All rows count; what the driver holds are the combinations that reach the support."""
     mining = mining or Mining()
     rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).groupBy("tokens", "label").count()
     rows, _ = saved(rows, "labelled")
@@ -152,7 +151,7 @@ def mine(labelled: DataFrame, mining: Mining | None = None) -> list[Rule]:
         return []
     least = max(1, mining.least_rows, ceil(mining.support * n))
     kept: list[Rule] = []
-    for label in sorted(by_label):
+    for label in sorted(by_label) if only is None else [only]:
         number: dict[str, int] = {}
         open_: set[tuple[int, ...]] = set()
         for size in range(1, mining.most_tokens + 1):
@@ -173,7 +172,7 @@ def mine(labelled: DataFrame, mining: Mining | None = None) -> list[Rule]:
             if len(open_) <= size:
                 break
     kept.sort(key=lambda r: (len(r.tokens), -r.support, r.tokens, r.label))
-    return kept[: mining.most_rules]
+    return kept
 
 
 class Index:
@@ -230,7 +229,7 @@ def filtered(pages: DataFrame, labels: DataFrame | None = None, rules: tuple = R
     known = urls.withColumn("label", F.col("listed"))
     if labels is not None:
         known = urls.join(labels, "page_id", "left").withColumn("label", F.coalesce("listed", "label"))
-    return judge(urls, mine(known, mining)).withColumn("verdict", F.coalesce("listed", "mined_verdict"))
+    return judge(urls, mine(known, mining, only="block")).withColumn("verdict", F.coalesce("listed", "mined_verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,13 @@ def test_all_parts_of_a_url_are_tokens(spark):
         labels = spark.createDataFrame([(i, "allow" if i % 2 else "block") for i in range(80)], "page_id long, label string")
         got = uf.filtered(spark.createDataFrame(rows, "page_id long, url string"), labels, rules=()).collect()
         assert len(got) == 120 and all(r.verdict == ("allow" if r.page_id % 2 else "block") for r in got), form
+
+
+def test_block_rules_stay_beside_many_allow_rules(spark):
+    many = [([f"t{i}"], "allow") for i in range(20_001)]
+    rows = many + [(["a", "b"], "block")] * 3 + [(["a"], "allow"), (["b"], "allow")]
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string")
+    mining = uf.Mining(least_rows=1, support=0.0)
+    urls = spark.createDataFrame([(["a", "b"],), (["a"],)], "tokens array<string>")
+    assert {tuple(r.tokens): r.mined_verdict for r in uf.judge(urls, uf.mine(labelled, mining)).collect()} == {("a", "b"): "block", ("a",): "allow"}
+    assert [(r.tokens, r.label) for r in uf.mine(labelled, mining, only="block")] == [(("a", "b"), "block")]
