@@ -60,12 +60,12 @@ def kmeans_cosine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_predict")
 def kmeans_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model of the points with odd ids, saved and read again, predicts those with even ids."""
+    """A model of all embeddings, saved and read again, predicts every one."""
     from galaxis.operators.kmeans import KMeansModel
 
     points = embeddings(spark, sf_dir)
-    model = KMeansModel.from_json(KMeans(5, n_init=2, random_state=1).fit(points.where("id % 2 = 1")).to_json())
-    return model.predict(points.where("id % 2 = 0"))
+    model = KMeansModel.from_json(KMeans(5, n_init=2, random_state=1).fit(points).to_json())
+    return model.predict(points)
 
 
 @query("kmeans_spread_fit")

@@ -47,3 +47,9 @@ def test_as_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, DIR).count() > 0
+
+
+def test_kmeans_predict_covers_all_embeddings(spark):
+    ids = {r[0] for r in spark.read.parquet(f"{DIR}/embeddings.parquet").select("vec_id").collect()}
+    got = registry.QUERIES["kmeans_predict"](spark, DIR).collect()
+    assert {r.id for r in got} == ids and len(got) == len(ids)
