@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -89,5 +91,41 @@ def pieces(offsets: np.ndarray, most: int) -> Iterable[tuple[int, int]]:
         i = min(j, n)
 
 
+def unused(frame: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to be none of frame's columns in any spelling."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def names_of(frame: DataFrame) -> list[str]:
+    """The columns of a frame, quoted, so that names with dots are found."""
+    return [f"`{c.replace('`', '``')}`" for c in frame.columns]
+
+
+def mapped(frame: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """frame.mapInArrow for columns of any name, also with dots; run sees them by position."""
+    return frame.toDF(*(f"_{i}" for i in range(len(frame.columns)))).mapInArrow(run, schema)
+
+
+def slim() -> None:
+    """Give memory that a worker has freed back to the system, as workers are used again by other stages."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
+@lru_cache(1)
+def _libc():
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if libc.malloc_trim else None
+    except (OSError, AttributeError):  # another C library
+        return None
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -5,9 +5,10 @@ share of its word characters that lie inside n-grams found twice or more, and in
 text is judged by itself, so the operator is one pass without a shuffle.
 
 Defined cases: a null text has no words and no lines and fails the base rules; an empty or blank text likewise.
-Repeated rows are judged one by one. Very long texts are measured whole, one at a time. Columns of the input other than
-the text stay as they are. Hashes have 64 bits: two different n-grams of one text of n words count as equal with a
-probability of about n**2 / 2**65.
+Repeated rows are judged one by one. Very long texts are measured whole, one at a time, in about 30 bytes of memory for
+each byte of the text. All columns of the input but those
+named like a result stay as they are; the pipeline stage changes none. Hashes have 64 bits, mixed after every eight bytes and every word: two different n-grams of one text of
+n words count as equal with a probability of about n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import pieces, read, utf8
+from galaxis.llm._store import mapped, names_of, pieces, read, slim, unused, utf8
 from galaxis.llm._words import Words, mix, rolling, spans_hash
 
 SYMBOLS = np.zeros(256, bool)
@@ -44,16 +45,19 @@ class Rules:
     ngrams: dict[int, int] = field(default_factory=lambda: {5: 15, 6: 14, 7: 13, 8: 12, 9: 11, 10: 10})
     line_chars: int = 20
 
-    def base_failed(self) -> Column:
-        return (F.col("n_words") < self.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * self.max_repeat_words)
+    def base_failed(self, m: Column) -> Column:
+        return (m["n_words"] < self.min_words) | (m["n_repeat_words"] * 100 > m["n_words"] * self.max_repeat_words)
 
-    def covered(self) -> Column:
+    def covered(self, m: Column) -> Column:
         """True if repetition covers too much of a text."""
-        bad = F.col("dup_line_chars") * 100 > F.col("word_chars") * self.line_chars
+        bad = m["dup_line_chars"] * 100 > m["word_chars"] * self.line_chars
         for k, n in enumerate(sorted(self.ngrams)):
-            bad = bad | (F.col("dup_ngram_chars")[k] * 100 > F.col("word_chars") * self.ngrams[n])
+            bad = bad | (m["dup_ngram_chars"][k] * 100 > m["word_chars"] * self.ngrams[n])
         return bad
 
+    def good(self, m: Column) -> Column:
+        return ~self.base_failed(m) & ~self.covered(m)
+
 
 def _twice(keys: np.ndarray) -> np.ndarray:
     """Flags of the keys that occur more than once."""
@@ -80,9 +84,10 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> dict[s
     w = Words(data, offsets)
     texts = len(offsets) - 1
     lead = ((data & 0xC0) != 0x80) & ~w.space
-    out = {"n_words": w.counts, "word_chars": w.per_text(lead), "n_symbols": w.per_text(SYMBOLS[data])}
-    chars = np.concatenate(([0], np.cumsum(lead)))
-    word_len = chars[w.ends] - chars[w.starts]
+    chars = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(lead, out=chars[1:])
+    out = {"n_words": w.counts, "word_chars": np.diff(chars[offsets]).astype(np.int64), "n_symbols": w.per_text(SYMBOLS[data])}
+    word_len = (chars[w.ends] - chars[w.starts]).astype(np.int64)
     hashes, owner = w.hashes(), w.owner()
     last = w.bounds[1:][owner] if len(owner) else owner
     at, spans = np.arange(len(hashes)), []
@@ -113,34 +118,45 @@ def measure(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> dict[s
     return out
 
 
-def with_measures(docs: DataFrame, rules: Rules | None = None, text: str = "text") -> DataFrame:
-    """docs with the measures of its texts as further columns; a column of the same name is replaced."""
+def _column(name: str, got: np.ndarray) -> pa.Array:
+    values = pa.array(got.ravel().astype(np.int64))
+    if name != "dup_ngram_chars":
+        return values
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]), values)
+
+
+def measured(docs: DataFrame, rules: Rules | None = None, text: str = "text") -> tuple[DataFrame, str]:
+    """docs with the measures of its texts in a struct column, and that column's name."""
     lengths = sorted((rules or Rules()).ngrams)
     names = [f.name for f in MEASURES]
-    kept = [c for c in docs.columns if c not in names]
-    schema = T.StructType([*docs.select(*kept).schema, *MEASURES])
+    into = unused(docs, "measures")
+    schema = T.StructType([*docs.schema, T.StructField(into, MEASURES)])
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = utf8(batch.column(batch.schema.get_field_index(text)))
+            offsets, data = utf8(batch.column(at))
             parts = [measure(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], lengths) for i, j in pieces(offsets, PIECE_BYTES)]
-            columns = list(batch.columns)
-            for name in names:
-                got = np.concatenate([p[name] for p in parts]) if parts else np.zeros((0, len(lengths)) if name == "dup_ngram_chars" else 0, np.int64)
-                if name == "dup_ngram_chars":
-                    values = pa.array(got.ravel().astype(np.int64))
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * len(lengths)), values))
-                else:
-                    columns.append(pa.array(got.astype(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+            none = {name: np.zeros((0, len(lengths)) if name == "dup_ngram_chars" else 0, np.int64) for name in names}
+            columns = [_column(name, np.concatenate([p[name] for p in parts or [none]])) for name in names]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, names)], names=schema.names)
+        slim()
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return mapped(docs, run, schema), into
+
+
+def with_measures(docs: DataFrame, rules: Rules | None = None, text: str = "text") -> DataFrame:
+    """docs with the measures of its texts as further columns; columns of docs with their names are replaced."""
+    frame, into = measured(docs, rules, text)
+    return frame.select(*names_of(docs.drop(*MEASURES.names)), f"{into}.*")
 
 
 def judged(docs: DataFrame, rules: Rules | None = None, text: str = "text") -> DataFrame:
-    """docs with its measures, base_failed and kept."""
+    """docs with its measures, base_failed and kept; columns of docs with these names are replaced."""
     rules = rules or Rules()
-    return with_measures(docs, rules, text).withColumn("base_failed", rules.base_failed()).withColumn("kept", ~F.col("base_failed") & ~rules.covered())
+    frame, into = measured(docs, rules, text)
+    m, rest = F.col(into), docs.drop(*MEASURES.names, "base_failed", "kept")
+    return frame.select(*names_of(rest), f"{into}.*", rules.base_failed(m).alias("base_failed"), rules.good(m).alias("kept"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,8 +165,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
-    return judged(docs).where("kept").select(*docs.columns)
+    """Pipeline stage: documents that the rules reject go. Columns of any name stay as they are."""
+    rules = Rules()
+    frame, into = measured(docs, rules)
+    return frame.where(rules.good(F.col(into))).select(*names_of(docs))
 
 
 #: DuckDB: words and windows by position; a window is equal to another if its words are.
