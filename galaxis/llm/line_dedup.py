@@ -12,7 +12,9 @@ code points that at least `min_docs` documents hold lose all their lines except
 
 Defined cases: a null or empty text is one empty line; lines with short keys stay; a document without dropped lines has
 no bitmap. A document is what shares an id: rows that repeat an id count once, and all keep the lines of a key that the
-id keeps. Null ids count together as one document below all others. Hashes have 128 bits.
+id keeps. Null ids count together as one document below all others, of which an id of -2**63 is a part. Other columns, of
+any name, stay as they are; the pipeline stage sets n_chars anew where it was the text's length. Hashes have 128 bits.
+Lines are written as hashes once; that table and the next are removed when the bitmaps are written.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import read, saved, utf8
+from galaxis.llm._store import mapped, names_of, read, remove, saved, slim, unused, utf8
 
 NO_ID = -(2**63)
 LINES = T.StructType(
@@ -142,8 +144,11 @@ def dropped(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str
     """(doc, mark, pos, n_lines) of the lines to drop, and the place of the table behind it."""
     spark = docs.sparkSession
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("mark"), F.col("pos")]
-    ranged = lines(docs, min_chars, doc_id, text).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    # Ranges are found in a pass of its own over the lines, so these are written first.
+    found, found_place = saved(lines(docs, min_chars, doc_id, text), "hashes")
+    ranged = found.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
     seen, place = saved(ranged.sortWithinPartitions(*order).mapInArrow(_stream(min_docs), SEEN), "lines")
+    remove(spark, found_place)
     # Two keys of each partition at most, so this may be broadcast.
     edge = seen.where("kind = 2").groupBy("h1", "h2").agg(F.size(F.collect_set("doc")).alias("docs"), F.max("doc").alias("keeper")).where(F.col("docs") >= min_docs)
     open_lines = seen.where("kind = 1").join(F.broadcast(edge), ["h1", "h2"]).where("doc <> keeper")
@@ -166,8 +171,11 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document that loses lines: doc (its id, NO_ID for null), mark (of its text), n_lines, n_dropped and
     keep, a zlib-compressed bitmap of n_lines bits, lowest bit first. A group is one document's dropped lines."""
-    rows, _ = dropped(docs, min_chars, min_docs, doc_id, text)
-    return rows.groupBy("doc", "mark").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("pos")).mapInArrow(_bitmaps, BITMAPS)
+    rows, place = dropped(docs, min_chars, min_docs, doc_id, text)
+    made = rows.groupBy("doc", "mark").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("pos")).mapInArrow(_bitmaps, BITMAPS)
+    out, _ = saved(made, "bitmaps")
+    remove(docs.sparkSession, place)
+    return out
 
 
 def unpack(keep: bytes, n_lines: int) -> np.ndarray:
@@ -175,18 +183,18 @@ def unpack(keep: bytes, n_lines: int) -> np.ndarray:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with its bitmaps in columns __n and __keep, null where all lines stay."""
-    schema = T.StructType([*docs.schema, T.StructField("__doc", T.LongType()), T.StructField("__mark", T.LongType())])
+    """docs and two last columns under names of their own, null where all lines stay: the number of lines and the bitmap."""
+    own, mark, n, keep = (unused(docs, c) for c in ("doc", "mark", "n", "keep"))
+    schema = T.StructType([*docs.schema, T.StructField(own, T.LongType()), T.StructField(mark, T.LongType())])
     at = [docs.columns.index(doc_id), docs.columns.index(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [pa.array(_ids(batch.column(at[0])), pa.int64()), pa.array(_marks(*utf8(batch.column(at[1]))), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=schema.names)
+            made = [pa.array(_ids(batch.column(at[0])), pa.int64()), pa.array(_marks(*utf8(batch.column(at[1]))), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-    marked = docs.mapInArrow(run, schema)
-    small = bitmaps.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), F.col("n_lines").alias("__n"), F.col("keep").alias("__keep"))
-    return marked.join(small, ["__doc", "__mark"], "left").drop("__doc", "__mark")
+    small = bitmaps.select(F.col("doc").alias(own), F.col("mark").alias(mark), F.col("n_lines").alias(n), F.col("keep").alias(keep))
+    return mapped(docs, run, schema).join(small, [own, mark], "left").select(*names_of(docs), n, keep)
 
 
 def _kept(text: bytes, keep: bytes | None, n: int | None) -> tuple[int, int, bytes]:
@@ -201,18 +209,21 @@ def _kept(text: bytes, keep: bytes | None, n: int | None) -> tuple[int, int, byt
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the dropped lines gone from its texts; a text that loses nothing stays as it is, also a null one."""
     joined = with_bitmaps(docs, bitmaps, doc_id, text)
-    at, names = joined.columns.index(text), docs.columns
+    at, schema = docs.columns.index(text), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            numbers, keeps = columns.pop("__n").to_pylist(), columns.pop("__keep").to_pylist()
-            if any(k is not None for k in keeps):
-                texts = batch.column(at).to_pylist()
-                columns[text] = pa.array([t if k is None else _kept((t or "").encode(), k, n)[2].decode() for t, n, k in zip(texts, numbers, keeps, strict=True)], pa.string())
-            yield pa.RecordBatch.from_pydict({c: columns[c] for c in names})
+            *columns, numbers, keeps = batch.columns
+            lose = np.flatnonzero(keeps.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            if lose:
+                texts = columns[at].to_pylist()
+                for i in lose:
+                    texts[i] = _kept((texts[i] or "").encode(), keeps[i].as_py(), numbers[i].as_py())[2].decode()
+                columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        slim()
 
-    return joined.mapInArrow(run, docs.schema)
+    return mapped(joined, run, schema)
 
 
 DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -223,17 +234,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = dict(zip(batch.schema.names, batch.columns, strict=True))
-            rows = [_kept((t or "").encode(), k, n) for t, n, k in zip(c["text"].to_pylist(), c["__n"].to_pylist(), c["__keep"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c["doc_id"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], names=DIGEST.names)
+            doc_id, *rest = batch.columns
+            rows = [_kept((t or "").encode(), k, n) for t, n, k in zip(*(c.to_pylist() for c in rest), strict=True)]
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([hashlib.sha256(r[2]).hexdigest() for r in rows], pa.string())], names=DIGEST.names)
 
-    return with_bitmaps(docs, keep_bitmaps(docs)).mapInArrow(run, DIGEST)
+    return mapped(with_bitmaps(docs, keep_bitmaps(docs)), run, DIGEST)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their repeated lines. n_chars follows the text where it was its length."""
-    out = apply_bitmaps(docs.withColumn("n_chars", F.when(F.col("n_chars") == F.length("text"), F.lit(None).cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in docs.columns else docs, keep_bitmaps(docs))
-    return out.withColumn("n_chars", F.coalesce("n_chars", F.length("text").cast("long"))).select(*docs.columns) if "n_chars" in docs.columns else out
+    bitmaps = keep_bitmaps(docs)
+    kind = dict(zip(docs.columns, (f.dataType for f in docs.schema), strict=True)).get("n_chars")
+    if not isinstance(kind, T.IntegralType):
+        return apply_bitmaps(docs, bitmaps)
+    same = unused(docs, "same")
+    out = apply_bitmaps(docs.withColumn(same, F.col("n_chars") == F.length("text")), bitmaps)
+    return out.withColumn("n_chars", F.when(F.col(same), F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(*names_of(docs))
 
 
 #: DuckDB: translate() for A-Z alone, trim() by the six characters.

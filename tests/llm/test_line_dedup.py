@@ -65,3 +65,15 @@ def test_bitmaps_stage_and_empty_table(spark):
     out = ld.drop_lines(spark, docs, "")
     assert out.columns == docs.columns and out.where("text = 'short'").count() == 3
     assert ld.drop_lines(spark, docs.limit(0), "").count() == 0
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    line = "this line stands in all four documents"
+    rows = [(i, f"short\n{line}", n, 2 + i, "d", 9, "x", b"k", 1.5) for i, n in enumerate([len(line) + 6, 7, None, len(line) + 6])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, __n int, __doc string, doc int, __keep string, keep binary, N double")
+    got = ld.drop_lines(spark, docs.withColumnRenamed("doc", "mark.doc"), "")
+    assert got.columns == ["doc_id", "text", "n_chars", "__n", "__doc", "mark.doc", "__keep", "keep", "N"]
+    want = [(i, "short" if i < 3 else r[1], 5 if i == 0 else r[2], *r[3:]) for i, r in enumerate(rows)]
+    assert sorted(map(tuple, got.collect())) == want
+    few = docs.select("doc_id", "text", ld.F.lit("many").alias("n_chars"))
+    assert {r.n_chars for r in ld.drop_lines(spark, few, "").collect()} == {"many"}
