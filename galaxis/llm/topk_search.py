@@ -3,11 +3,13 @@
 A task turns each chunk of its candidates into postings, one list of (row, weight) for each term (vector component).
 Query rows are sparse: for each of a query's terms the weighted posting list is scattered into a dense array of scores,
 one for each row of the chunk. Partition selection takes the k best of a chunk, with all that tie with the k-th; the best
-of chunks and tasks are merged. Queries are written to the shared folder once and read there block by block, so neither
-the driver nor a task ever holds them all.
+of chunks and tasks are merged. A chunk has CHUNK rows or CHUNK_VALUES components at most, so that a task gives out
+few hits for each query. Queries are written to the shared folder once and read there block by block, so neither the driver
+nor a task ever holds them all.
 
-Vectors become integers floor(scale * x), clipped to +-2**27. Vectors that are null or hold null or non-finite components
-take no part; neither do null ids. Vectors may differ in length: missing components count as 0. Rows that repeat an id
+Vectors become integers floor(scale * x), never clipped. Scores are exact: where the products of a query and a chunk might
+not fit into 64 bits, they are summed as unbounded integers, and a score beyond a long raises OverflowError. So does a
+component beyond a long. Vectors that are null or hold null or non-finite components take no part; neither do null ids. Vectors may differ in length: missing components count as 0. Rows that repeat an id
 are candidates one by one; a query is an id, with the least of its vectors, and no row of its own id is its candidate.
 Ties go to the smaller id. A query with fewer than k candidates gets them all.
 """
@@ -18,18 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from galaxis.llm._store import read, saved
 
-CHUNK, BLOCK, CLIP = 8192, 1024, 1 << 27
+#: The most rows and components of a chunk, and the queries of a block.
+CHUNK, CHUNK_VALUES, BLOCK = 1 << 16, 1 << 21, 1024
 HITS = T.StructType([T.StructField(k, T.LongType()) for k in ("query_id", "vec_id", "score")])
 
 
 def integers(vector: str, scale: int) -> Column:
-    return F.transform(F.col(vector), lambda x: F.greatest(F.least(F.floor(F.lit(float(scale)) * x.cast("double")), F.lit(CLIP)), F.lit(-CLIP)).cast("int"))
+    """floor(scale * x) as longs; what is too large for one becomes null, which postings() refuses."""
+    whole = lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))
+    return F.transform(F.col(vector), lambda x: F.when(F.abs(F.lit(float(scale)) * x.cast("double")) < F.lit(2.0**63), whole(x)))
 
 
 def sound(frame: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -40,8 +46,15 @@ def sound(frame: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and values of a list column."""
+    values = lists.flatten()
+    if values.null_count:
+        raise OverflowError("a component doesn't fit into a long")
     offsets = lists.offsets.to_numpy().astype(np.int64)
-    return offsets - offsets[0], lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64)
+    return offsets - offsets[0], values.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _largest(values: np.ndarray) -> int:
+    return max(int(values.max(initial=0)), -int(values.min(initial=0)))
 
 
 class Postings:
@@ -49,22 +62,30 @@ class Postings:
 
     def __init__(self, ids: np.ndarray, offsets: np.ndarray, values: np.ndarray):
         self.ids = ids
-        rows = np.repeat(np.arange(len(ids)), np.diff(offsets))
-        terms = np.arange(len(values)) - offsets[rows]
+        rows = np.repeat(np.arange(len(ids), dtype=np.int32), np.diff(offsets))
+        terms = (np.arange(len(values)) - offsets[rows]).astype(np.int32)
         some = values != 0
         rows, terms, values = rows[some], terms[some], values[some]
         order = np.argsort(terms, kind="stable")
-        self.rows, self.weights = rows[order], values[order]
+        self.rows, self.weights, self.largest = rows[order], values[order], _largest(values)
         self.starts = np.searchsorted(terms[order], np.arange(int(terms.max(initial=-1)) + 2))
+        #: Weights of all rows for the terms that most rows have.
+        self.dense: dict[int, np.ndarray] = {}
+        for term in np.flatnonzero(np.diff(self.starts) * 2 > len(ids)).tolist():
+            a, b = self.starts[term], self.starts[term + 1]
+            self.dense[term] = np.zeros(len(ids), np.int64)
+            self.dense[term][self.rows[a:b]] = self.weights[a:b]
 
     def scores(self, query: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.ids), np.int64)
-        for term in np.flatnonzero(query[: len(self.starts) - 1]).tolist():
-            a, b = self.starts[term], self.starts[term + 1]
-            if b - a == len(out):
-                out += query[term] * self.weights[a:b]
-            else:
-                out[self.rows[a:b]] += query[term] * self.weights[a:b]
+        terms = np.flatnonzero(query[: len(self.starts) - 1]).tolist()
+        wide = _largest(query) * self.largest * max(1, len(terms)) >= 2**63
+        out = np.zeros(len(self.ids), object if wide else np.int64)
+        for term in terms:
+            weight, rows, weights = query[term], slice(None), self.dense.get(term)
+            if weights is None:
+                a, b = self.starts[term], self.starts[term + 1]
+                rows, weights = self.rows[a:b], self.weights[a:b]
+            out[rows] += int(weight) * weights.astype(object) if wide else weight * weights
         return out
 
     def best(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,6 +94,10 @@ class Postings:
         own = ids == query_id
         if own.any():
             scores, ids = scores[~own], ids[~own]
+        if scores.dtype == object:
+            if len(scores) and max(map(abs, scores.tolist())) >= 2**63:
+                raise OverflowError("a score doesn't fit into a long")
+            scores = scores.astype(np.int64)
         if len(ids) > k:
             least = np.partition(scores, len(scores) - k)[len(scores) - k]
             top = scores >= least
@@ -81,15 +106,20 @@ class Postings:
         return ids[order], scores[order]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Postings]:
-    held, rows = [], 0
+def _chunks(batches: Iterator[pa.RecordBatch], most_rows: int, most_values: int) -> Iterator[Postings]:
+    held, count, values = [], 0, 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            rows += batch.num_rows
-        if rows >= CHUNK:
-            yield _postings(held)
-            held, rows = [], 0
+        lengths = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        rows = max(1, min(most_rows, most_values // max(1, int(lengths.max(initial=1)))))
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            size = int(lengths[at : at + rows].sum())
+            if held and (values + size > most_values or count + part.num_rows > most_rows):
+                yield _postings(held)
+                held, count, values = [], 0, 0
+            held.append(part)
+            count += part.num_rows
+            values += size
     if held:
         yield _postings(held)
 
@@ -99,8 +129,9 @@ def _postings(held: list[pa.RecordBatch]) -> Postings:
     return Postings(table.column(0).chunk(0).to_numpy(), *_flat(table.column(1).chunk(0)))
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """queries and candidates: (vec_id, v). Returns query_id, rank, vec_id, score."""
+def top_k(queries: DataFrame, candidates: DataFrame, k: int, chunk: tuple[int, int] | None = None) -> DataFrame:
+    """queries and candidates: (vec_id, v). Returns query_id, rank, vec_id, score. chunk: rows and components at most."""
+    most_rows, most_values = chunk or (CHUNK, CHUNK_VALUES)
     _, place = saved(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +140,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 
         store, base = fs.FileSystem.from_uri(place)
         blocks = ds.dataset(base, filesystem=store, format="parquet")
-        for postings in _chunks(batches):
+        for postings in _chunks(batches, most_rows, most_values):
             for block in blocks.to_batches(batch_size=BLOCK):
                 if not block.num_rows:
                     continue

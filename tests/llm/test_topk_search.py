@@ -36,3 +36,50 @@ def test_few_rows_and_none(spark):
     assert got == [(0, 1, 1, 131072), (0, 2, 2, 131072)]
     assert tk.top_k(frame.limit(0), frame.limit(0), 5).count() == 0
     assert tk.top_k(frame.where("vec_id = 9"), frame, 5).count() == 0
+
+
+def exact(vectors, queries, k):
+    """All scores as Python integers."""
+    out = []
+    for q, v in queries:
+        found = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in vectors if i != q)
+        out += [(q, rank + 1, i, -score) for rank, (score, i) in enumerate(found[:k])]
+    return sorted(out)
+
+
+def test_large_components_keep_their_ranks(spark):
+    rows = [(0, [1.0]), (1, [1e6]), (2, [2e6]), (3, [3e6]), (4, [-3e6]), (50, [1e-3])]
+    frame = tk.sound(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256)
+    got = tk.top_k(frame.where("vec_id = 0"), frame, 3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 196_608_000_000), (2, 131_072_000_000), (1, 65_536_000_000)]
+
+
+def test_products_beyond_64_bits(spark):
+    big = 2.0**45
+    rows = [(0, [big, -big, 1.0]), (1, [big, big, 3.0]), (2, [big, big, 2.0]), (3, [1.0, 0.0, 0.0]), (4, [])]
+    frame = tk.sound(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256)
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    got = tk.top_k(frame.where("vec_id = 0"), frame, 4).collect()
+    assert sorted(map(tuple, got)) == exact(whole, whole[:1], 4)
+    over = tk.sound(spark.createDataFrame([(0, [2.0**50]), (1, [2.0**50])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 256)
+    with pytest.raises(Exception, match="doesn't fit"):
+        tk.top_k(over, over, 1).collect()
+    huge = tk.sound(spark.createDataFrame([(0, [2.0**60]), (1, [1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding", 256)
+    with pytest.raises(Exception, match="doesn't fit"):
+        tk.top_k(huge, huge, 1).collect()
+
+
+def test_many_chunks_and_lengths(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i, [rng.choice([0.0, 0.25, -0.5, 1.0]) for _ in range(rng.randrange(9))]) for i in range(400)]
+    frame = tk.sound(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256)
+    whole = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        got = tk.top_k(frame.where("vec_id % 50 = 0"), frame, 5, (11, 64)).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert sorted(map(tuple, got)) == exact(whole, [x for x in whole if x[0] % 50 == 0], 5)
