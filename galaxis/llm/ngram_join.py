@@ -16,11 +16,17 @@ whether an even or odd number of elements falls on them differ at most where the
 in more than H bits can't be linked. What passes is verified exactly on the texts, by rounds: each set against its most
 alike one in a bucket, then a few others, then all that is left, always without those that are connected already or have
 failed. So thousands of near copies, or of documents that share a long passage, don't become all their pairs. No cap
-anywhere: the last round takes whatever is left. Buckets of more than BUCKET_ROWS sets are compared in pairs of parts.
+anywhere: the last round takes whatever is left, which for M unlinked sets of one bucket is at most the M**2 / 2 pairs
+whose sketches allow a link. Buckets of more than BUCKET_ROWS sets are compared in pairs of parts.
+
+Sets are named by 128-bit hashes of their 64-bit shingle hashes; those that share a bucket are numbered, and everything
+after that is done by number.
 
 Defined cases: texts without words, or null, have empty sets and are linked with nothing; with fewer words than a shingle
 has, the whole sequence is one. Equal sets are one class from the start. Rows that repeat an id are documents one by
-one. Null ids are larger than all others, and a component of them alone has the id null.
+one. Null ids are larger than all others, and a component of them alone has the id null; the largest long counts as null.
+Very long texts are read whole, one at a time, in about 30 bytes of memory for each byte of the text. Other columns, of any
+name, are not looked at, and the pipeline stage returns them as they are.
 """
 
 from __future__ import annotations
@@ -37,10 +43,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import pieces, read, remove, saved, utf8
+from galaxis.llm._store import mapped, names_of, pieces, read, remove, saved, slim, unused, utf8
 from galaxis.llm._words import LOWER, Words, mix, rolling
 
-PIECE_BYTES, FLUSH_KEYS, KEYS_PER_TASK = 1 << 20, 1 << 20, 1_500_000
+PIECE_BYTES, FLUSH_KEYS, KEYS_PER_TASK = 1 << 20, 1 << 18, 600_000
+#: The sets that a task remembers to leave out copies, and the pairs of a batch.
+SEEN, PAIR_ROWS = 200_000, 100_000
 #: The most document ids that are broadcast to fetch or drop documents; more are joined by a shuffle.
 MOST_BROADCAST = 400_000
 NO_ID = 2**63 - 1
@@ -159,32 +167,30 @@ def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         yield from shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
 
 
-def _node(elements: np.ndarray) -> int:
-    """A set's name: 63 bits of a hash, so that it is never the largest long."""
-    return xxhash.xxh3_64_intdigest(elements.tobytes()) >> 1
+def _name(elements: np.ndarray) -> bytes:
+    """A set's name: 128 bits of a hash."""
+    return xxhash.xxh3_128_digest(elements.tobytes())
 
 
-SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("band", T.IntegerType())])
-BLOCKS = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("nodes", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
-MEMBERS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType())])
-TEXTS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("text", T.StringType())])
+SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("name", T.BinaryType()), T.StructField("band", T.IntegerType())])
+BLOCKS = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("names", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
+MEMBERS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("name", T.BinaryType())])
+TEXTS = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("text", T.StringType())])
 PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType())])
 
 
 def describe(docs: DataFrame, likeness: Likeness) -> DataFrame:
-    """(id, n, node, check, band) of each document; node is null for empty sets."""
+    """(id, n, name, band) of each document; the name is null for empty sets."""
     edges = np.array(likeness.edges(1 << 40), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, node, check = [], [], []
-            for s in _sets(batch.column(1), likeness.words):
-                n.append(len(s))
-                node.append(_node(s) if len(s) else None)
-                check.append(xxhash.xxh3_64_intdigest(s.tobytes(), seed=7) >> 1 if len(s) else None)
+            found = [(len(s), _name(s) if len(s) else None) for s in _sets(batch.column(1), likeness.words)]
+            n, name = zip(*found, strict=True) if found else ((), ())
             band = np.searchsorted(edges, np.array(n, np.int64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(band)], names=SETS.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(name, pa.binary()), pa.array(band)], names=SETS.names)
+        slim()
 
     return docs.mapInArrow(run, SETS)
 
@@ -222,16 +228,16 @@ def _blocks(likeness: Likeness, edges: list[int], found: dict[int, Scheme], part
     """Keys of documents, packed by hash range: sets with the numbers of their keys, and 6 bytes of each key."""
     bands = np.array(edges, np.int64)
 
-    def packed(nodes: list[int], lists: list[np.ndarray]) -> pa.RecordBatch:
+    def packed(names: list[bytes], lists: list[np.ndarray]) -> pa.RecordBatch:
         sizes = [len(x) for x in lists]
-        owner = np.repeat(np.arange(len(nodes)), sizes)
+        owner = np.repeat(np.arange(len(names)), sizes)
         values = np.concatenate(lists)
         p = ((values >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(p, kind="stable")
         p, owner = p[order], owner[order]
         # The low 48 bits: within a range of the high bits they tell keys apart well enough, as all links are verified.
         low = values[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-        names = np.array(nodes, np.int64)
+        table = np.frombuffer(b"".join(names), "V16")
         cuts = np.searchsorted(p, np.arange(parts + 1))
         rows: list[tuple] = []
         for q in range(parts):
@@ -239,77 +245,86 @@ def _blocks(likeness: Likeness, edges: list[int], found: dict[int, Scheme], part
             if a < b:
                 first = np.concatenate(([0], np.flatnonzero(np.diff(owner[a:b])) + 1))
                 counts = np.diff(np.append(first, b - a)).astype("<u4")
-                rows.append((q, names[owner[a:b][first]].tobytes(), counts.tobytes(), low[a:b].tobytes()))
+                rows.append((q, table[owner[a:b][first]].tobytes(), counts.tobytes(), low[a:b].tobytes()))
         cols = list(zip(*rows, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=BLOCKS.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, lists, held, seen = [], [], 0, set()
+        names, lists, held, seen = [], [], 0, set()
         for batch in batches:
             for s in _sets(batch.column(0), likeness.words):
                 if not len(s):
                     continue
-                node = _node(s)
-                if node in seen:
+                name = _name(s)
+                if name in seen:
                     continue  # a copy of a set of this task
-                seen.add(node)
+                seen.add(name)
                 band = int(np.searchsorted(bands, len(s)))
                 own = [keys(s, b, found[b]) for b in (band, band - 1) if b in found]
                 if own:
-                    nodes.append(node)
+                    names.append(name)
                     lists.append(np.concatenate(own))
                     held += len(lists[-1])
                 if held >= FLUSH_KEYS:
-                    yield packed(nodes, lists)
-                    nodes, lists, held = [], [], 0
-            if len(seen) > 2_000_000:
-                seen.clear()
+                    yield packed(names, lists)
+                    names, lists, held = [], [], 0
+                if len(seen) >= SEEN:
+                    seen.clear()
         if held:
-            yield packed(nodes, lists)
+            yield packed(names, lists)
+        slim()
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The buckets of a partition's keys: sets of two or more, each named by its members."""
-    names, values = [], []
+    tables, owners, values, rows = [], [], [], 0
     for batch in batches:
-        for _, nodes, counts, low in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            names.append(np.repeat(np.frombuffer(nodes, np.int64), np.frombuffer(counts, "<u4")))
+        for k in range(batch.num_rows):
+            names, counts, low = (batch.column(c)[k].as_buffer() for c in (1, 2, 3))
+            tables.append(np.frombuffer(names, "<u8").reshape(-1, 2).copy())
+            owners.append(np.repeat(np.arange(rows, rows + len(tables[-1]), dtype=np.int32), np.frombuffer(counts, "<u4")))
+            rows += len(tables[-1])
             wide = np.zeros((len(low) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(low, np.uint8).reshape(-1, 6)
             values.append(wide.view("<u8").ravel())
-    if not names:
+    if not tables:
         return
-    node, key = np.concatenate(names), np.concatenate(values)
-    del names, values
+    table, owner, key = np.concatenate(tables), np.concatenate(owners), np.concatenate(values)
+    del tables, owners, values
     order = np.argsort(key)
-    node, key = node[order], key[order]
+    owner, key = owner[order], key[order]
+    del order
     same = np.zeros(len(key) + 1, bool)
     same[1:-1] = key[1:] == key[:-1]
     some = same[:-1] | same[1:]
-    node, key = node[some], key[some]
-    order = np.lexsort((node, key))
-    node, key = node[order], key[order]
+    key, high, low = key[some], table[owner[some], 0], table[owner[some], 1]
+    del table, owner, some, same
+    order = np.lexsort((low, high, key))
+    key, high, low = key[order], high[order], low[order]
     fresh = np.ones(len(key), bool)
-    fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    node, key = node[fresh], key[fresh]
+    fresh[1:] = (key[1:] != key[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+    key, high, low = key[fresh], high[fresh], low[fresh]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(first, len(key)))
     many = size > 1
     rows = np.repeat(many, size)
-    node, size = node[rows], size[many]
-    if not len(node):
+    high, low, size = high[rows], low[rows], size[many]
+    if not len(high):
         return
     first = np.concatenate(([0], np.cumsum(size)[:-1]))
-    bucket = mix(np.add.reduceat(mix(node.astype(np.uint64)), first) + size.astype(np.uint64))
+    bucket = mix(np.add.reduceat(mix(high ^ mix(low)), first) + size.astype(np.uint64))
     _, once = np.unique(bucket, return_index=True)
     keep = np.zeros(len(bucket), bool)
     keep[once] = True
     rows = np.repeat(keep, size)
-    bucket, node = np.repeat(bucket, size)[rows].view(np.int64), node[rows]
-    for a in range(0, len(node), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + 200_000]), pa.array(node[a : a + 200_000])], names=MEMBERS.names)
+    bucket, names = np.repeat(bucket, size)[rows].view(np.int64), np.stack((high[rows], low[rows]), 1)
+    for a in range(0, len(bucket), PAIR_ROWS):
+        part = np.ascontiguousarray(names[a : a + PAIR_ROWS])
+        packed = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.arange(0, 16 * len(part) + 1, 16, dtype=np.int32)), pa.py_buffer(part)])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[a : a + PAIR_ROWS]), packed], names=MEMBERS.names)
+    slim()
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
@@ -329,21 +344,21 @@ def folded(words: np.ndarray, size: int) -> np.ndarray:
 def _texts(likeness: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [(_node(s), len(s), sketch(s).tobytes()) if len(s) else (None, 0, b"") for s in _sets(batch.column(0), likeness.words)]
-            node, n, bits = zip(*sets, strict=True) if sets else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), batch.column(0)], names=TEXTS.names)
+            sets = [(_name(s), len(s), sketch(s).tobytes()) if len(s) else (None, 0, b"") for s in _sets(batch.column(0), likeness.words)]
+            name, n, bits = zip(*sets, strict=True) if sets else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.binary()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), batch.column(0)], names=TEXTS.names)
 
     return run
 
 
 def _alike(likeness: Likeness, number: int):
-    """Pairs of a round from buckets (bucket, p, q, part, node, c, n, failed, sketch), sorted by bucket, p and q: sets of
-    part p with sets of part q that may be linked, aren't connected and haven't failed."""
+    """Pairs of a round from buckets (bucket, p, q, part, node, c, n, sketch), sorted by bucket, p and q: sets of part p
+    with sets of part q that may be linked and aren't connected."""
     most = PARTNERS[number] if number < len(PARTNERS) else None
     less, more = 100 - likeness.percent, 100 + likeness.percent
 
-    def of(rows: list[tuple], p: int, q: int) -> Iterator[tuple[int, int]]:
-        part, node, c, n, failed, bits = zip(*rows, strict=True)
+    def of(rows: list[tuple], p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        part, node, c, n, bits = zip(*rows, strict=True)
         part, node, c, n = (np.array(v, np.int64) for v in (part, node, c, n))
         if (c == c[0]).all():
             return
@@ -361,45 +376,42 @@ def _alike(likeness: Likeness, number: int):
             apart = np.bitwise_count(table[at] ^ table[i]).sum(1, dtype=np.int64)
             near = apart * more <= less * (n[at] + n[i])
             at, apart = at[near], apart[near]
-            if len(at) and failed[i]:
-                new = ~np.isin(node[at], failed[i])
-                at, apart = at[new], apart[new]
             if most is None:
                 at = at[at > i]
             elif len(at) > most:
                 if number:  # others in another bucket
                     apart = mix(node[at].astype(np.uint64) + np.uint64(rows_salt(rows)))
                 at = at[np.argpartition(apart, most - 1)[:most]]
-            own = int(node[i])
-            for other in node[at].tolist():
-                yield (own, other) if own > other else (other, own)
+            if len(at):
+                yield np.maximum(node[at], node[i]), np.minimum(node[at], node[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        key, rows = None, []
+        key, rows, held = None, [], []
 
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=PAIRS.names)
+        def out(least: int) -> Iterator[pa.RecordBatch]:
+            if held and sum(len(a) for a, _ in held) >= least:
+                a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=PAIRS.names)
 
-        def fresh() -> list[tuple[int, int]]:
-            if len(rows) < 2:
-                return []
-            found = list(dict.fromkeys(x for x in of(rows, key[1], key[2]) if x not in seen))
-            if len(seen) < 2_000_000:
-                seen.update(found)
-            return found
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(rows) > 1:
+                for k, found in enumerate(of(rows, key[1], key[2])):
+                    held.append(found)
+                    if k % 64 == 63:
+                        yield from out(PAIR_ROWS)
 
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for row in zip(*columns, strict=True):
-                if row[:3] != key:
-                    if found := fresh():
-                        yield out(found)
-                    key, rows = row[:3], []
-                rows.append(row[3:])
-        if found := fresh():
-            yield out(found)
+            for at in range(0, batch.num_rows, 1024):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns), strict=True):
+                    if row[:3] != key:
+                        yield from close()
+                        key, rows = row[:3], []
+                    rows.append(row[3:])
+                yield from out(PAIR_ROWS)
+        yield from close()
+        yield from out(1)
+        slim()
 
     return run
 
@@ -454,90 +466,83 @@ def components(links: DataFrame, before: DataFrame | None) -> tuple[DataFrame, s
             return labels, place
 
 
-def _rounds(docs: DataFrame, classes: DataFrame, members: DataFrame, likeness: Likeness) -> DataFrame | None:
-    """Components of sets, by verified links of sets that share a bucket; None without links."""
+def _rounds(docs: DataFrame, classes: DataFrame, nodes: DataFrame, members: DataFrame, likeness: Likeness) -> tuple[DataFrame | None, list[str]]:
+    """Components (node, c) of sets, by verified links of sets that share a bucket; None without links. And the tables that
+    were written for them."""
     spark = docs.sparkSession
-    nodes = members.select("node").distinct()
-    reps = classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("id"))
-    texts, texts_place = saved(_fetch(docs, reps, "left_semi").select("text").mapInArrow(_texts(likeness), TEXTS).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    reps, reps_place = _ids(classes.join(nodes, "name").select(F.col("rep").alias("id")))
+    made = docs.join(reps, "id", "left_semi").select("text").mapInArrow(_texts(likeness), TEXTS).join(nodes, "name").drop("name")
+    texts, texts_place = saved(made.dropDuplicates(["node"]), "texts")
     parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
     members = members.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     comp, comp_place, number = None, None, 0
     done: list[DataFrame] = []
-    while True:
+    places = [reps_place, texts_place]
+    while number <= len(PARTNERS):
         now = members.withColumn("c", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("c", F.coalesce("c", "node"))
         if comp is not None:
             open_ = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
             now = now.join(open_, "bucket", "left_semi")
-        if done:
-            tried = reduce(DataFrame.unionByName, done)
-            tried = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            now = now.join(tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("failed")), "node", "left")
-        else:
-            now = now.withColumn("failed", F.lit(None).cast("array<long>"))
         whole = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("h")
-        now = now.select("bucket", "node", "c", "failed", "part", whole).withColumns({"p": F.least("part", "h"), "q": F.greatest("part", "h")})
-        rows = now.join(texts.select("node", "n", "sketch"), "node").select("bucket", "p", "q", "part", "node", "c", "n", "failed", "sketch")
+        now = now.select("bucket", "node", "c", "part", whole).withColumns({"p": F.least("part", "h"), "q": F.greatest("part", "h")})
+        rows = now.join(texts.select("node", "n", "sketch"), "node").select("bucket", "p", "q", "part", "node", "c", "n", "sketch")
         rows = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
-        pairs, pairs_place = saved(rows.mapInArrow(_alike(likeness, number), PAIRS).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        verified, _ = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(likeness), LINKS), "links")
-        remove(spark, pairs_place)
-        done.append(verified.where("NOT linked").select("a", "b"))
-        links = verified.where("linked")
-        if not links.isEmpty():
-            before = comp_place
-            comp, comp_place = components(links, comp)
-            if before:
-                remove(spark, before)
+        pairs = rows.mapInArrow(_alike(likeness, number), PAIRS).distinct()
+        if done:  # not those that have failed
+            pairs = pairs.join(reduce(DataFrame.unionByName, done), ["a", "b"], "left_anti")
+        pairs, pairs_place = saved(pairs, "pairs")
         number += 1
-        if number > len(PARTNERS):
-            break
-    remove(spark, texts_place)
-    return comp
+        if not pairs.isEmpty():
+            left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+            right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+            verified, links_place = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(likeness), LINKS), "links")
+            places.append(links_place)
+            done.append(verified.where("NOT linked").select("a", "b"))
+            links = verified.where("linked")
+            if not links.isEmpty():
+                before = comp_place
+                comp, comp_place = components(links, comp)
+                if before:
+                    remove(spark, before)
+        remove(spark, pairs_place)
+    return comp, places + ([comp_place] if comp_place else [])
 
 
-def _fetch(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows of docs whose id is (left_semi) or isn't (left_anti) among ids."""
-    ids, _ = saved(ids.distinct(), "ids")
-    if ids.count() <= MOST_BROADCAST:
-        ids = F.broadcast(ids)
-    return docs.join(ids, "id", how)
+def _ids(ids: DataFrame) -> tuple[DataFrame, str]:
+    """Distinct ids as a table, to be broadcast unless there are too many; and the table's place."""
+    ids, place = saved(ids.distinct(), "ids")
+    return (F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids), place
 
 
 def linked_components(docs: DataFrame, likeness: Likeness | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, node, component, root) of each document; ids are NO_ID for null. component is the least id, root the least
-    node: components of their own may have the same id, but not the same root."""
+    """(id, n, name, component, root) of each document; ids are NO_ID for null. component is the least id; components of
+    their own may have the same one, but not the same root."""
     likeness = likeness or Likeness()
     spark = docs.sparkSession
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    sets, _ = saved(describe(docs, likeness), "sets")
-    classes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("band").alias("band"), F.first("n").alias("n"))
-    classes, _ = saved(classes, "classes")
-    if not classes.where("c1 <> c2").isEmpty():
-        raise RuntimeError("two different sets have the same 63-bit name")  # about n**2 / 2**64 for n sets
+    sets, sets_place = saved(describe(docs, likeness), "sets")
+    classes, classes_place = saved(sets.where("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("rep"), F.first("band").alias("band"), F.first("n").alias("n")), "classes")
     tally = classes.groupBy("band").agg(F.count("*").alias("sets"), F.sum("n").alias("n")).collect()
     edges, found = schemes(likeness, {r.band: r.sets for r in tally})
     expected = sum(r.n / (max(1, likeness_size(likeness, r.band))) * sum(found[b].segments + found[b].deletions * 8 for b in (r.band, r.band - 1) if b in found) for r in tally)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(expected / KEYS_PER_TASK))
-    place = None
-    comp = None
+    places, comp = [sets_place, classes_place], None
     if found:
         blocks = docs.select("text").mapInArrow(_blocks(likeness, edges, found, parts), BLOCKS)
-        members, place = saved(blocks.repartition(parts, "p").mapInArrow(_meet, MEMBERS).distinct(), "members")
-        comp = _rounds(docs, classes, members, likeness)
+        named, named_place = saved(blocks.repartitionById(parts, F.col("p")).mapInArrow(_meet, MEMBERS).distinct(), "named")
+        nodes, nodes_place = saved(named.select("name").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+        members, members_place = saved(named.join(nodes, "name").select("bucket", "node"), "members")
+        remove(spark, named_place)
+        comp, more = _rounds(docs, classes, nodes, members, likeness)
+        places += [nodes_place, members_place, *more]
     if comp is None:
-        named = classes.select("node", F.col("rep").alias("component"), F.col("node").alias("root"))
+        of = classes.select("name", F.col("rep").alias("component"), F.hex("name").alias("root"))
     else:
-        mapped = classes.select("node", "rep").join(comp, "node", "left").withColumn("c", F.coalesce("c", "node"))
-        least = mapped.groupBy("c").agg(F.min("rep").alias("component"))
-        named = mapped.join(least, "c").select("node", "component", F.col("c").alias("root"))
-    out, _ = saved(sets.select("id", "n", "node").join(named, "node", "left").select("id", "n", "node", F.coalesce("component", "id").alias("component"), "root"), "components")
-    if place:
-        remove(spark, place)
+        numbered = classes.select("name", "rep").join(nodes.join(comp, "node").select("name", "c"), "name", "left")
+        least = numbered.where("c IS NOT NULL").groupBy("c").agg(F.min("rep").alias("least"))
+        of = numbered.join(least, "c", "left").select("name", F.coalesce("least", "rep").alias("component"), F.coalesce(F.col("c").cast("string"), F.hex("name")).alias("root"))
+    out, _ = saved(sets.select("id", "n", "name").join(of, "name", "left").select("id", "n", "name", F.coalesce("component", "id").alias("component"), "root"), "components")
+    remove(spark, *places)
     return out
 
 
@@ -546,38 +551,41 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(read(spark, sf_dir, "documents")).select(null("id").alias("doc_id"), F.col("n").alias("n_shingles"), null("component").alias("component_id"))
 
 
-def with_node(docs: DataFrame, likeness: Likeness) -> DataFrame:
-    """docs and `node`, the name of the text's set as in describe()."""
-    schema = T.StructType([*docs.schema, T.StructField("node", T.LongType())])
-    at = docs.columns.index("text")
+def with_name(docs: DataFrame, likeness: Likeness, into: str, text: str = "text") -> DataFrame:
+    """docs and the name of the text's set, as in describe()."""
+    schema = T.StructType([*docs.schema, T.StructField(into, T.BinaryType())])
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = [_node(s) if len(s) else None for s in _sets(batch.column(at), likeness.words)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], names=schema.names)
+            name = [_name(s) if len(s) else None for s in _sets(batch.column(at), likeness.words)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.binary())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of near copies (five words, 0.8) one row stays: of those with the least id that
-    with the least node, and of rows with one id and node the least row. Rows with empty sets are in no component and
-    all stay. Null ids are larger than all others."""
+    with the least name, and of rows with one id and name the least row (as JSON if its columns have no order). Rows with
+    empty sets are in no component and all stay. Null ids are larger than all others."""
     likeness = Likeness(5, 80)
-    marked = docs.withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    own = unused(docs, "id")
+    marked = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     found = linked_components(docs, likeness)
-    gone = found.where("component <> id").select("id")
-    # Null ids, and ids that repeat, don't name a row: their rows are decided by id and node.
-    again, _ = saved(found.groupBy("id").count().where("count > 1").select("id"), "again")
+    gone, _ = _ids(found.where("component <> id").select(F.col("id").alias(own)))
+    # Null ids, and ids that repeat, don't name a row: their rows are decided by id and name.
+    again, _ = _ids(found.groupBy("id").count().where("count > 1").select(F.col("id").alias(own)))
     if again.isEmpty():
-        return _fetch(marked, gone, "left_anti").select(*docs.columns)
-    least = _fetch(found.where("component = id AND node IS NOT NULL"), again, "left_semi")
-    least = least.groupBy("root").agg(F.min("id").alias("id"), F.min("node").alias("node")).select("id", "node")
-    rows = with_node(_fetch(marked, again, "left_semi"), likeness)
-    once = rows.where("node IS NOT NULL").groupBy("id", "node").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    once = once.join(least, ["id", "node"], "left_semi").select("row.*")
-    rest = _fetch(_fetch(marked, again, "left_anti"), gone, "left_anti").select(*docs.columns)
-    return rest.unionByName(rows.where("node IS NULL").select(*docs.columns)).unionByName(once)
+        return marked.join(gone, own, "left_anti").select(*names_of(docs))
+    name, row = unused(docs, "name"), F.struct(*names_of(docs))
+    least = found.where("component = id AND name IS NOT NULL").withColumnRenamed("id", own).join(again, own, "left_semi")
+    least = least.groupBy("root").agg(F.min(own).alias(own), F.min("name").alias(name)).select(own, name)
+    rows = with_name(marked.join(again, own, "left_semi").select(*names_of(docs), own), likeness, name)
+    unordered = any(kind in docs.schema.simpleString() for kind in ("map<", "variant"))
+    once = rows.where(F.col(name).isNotNull()).groupBy(own, name).agg((F.min_by(row, F.to_json(row)) if unordered else F.min(row)).alias("row"))
+    once = once.join(least, [own, name], "left_semi").select("row.*")
+    rest = marked.join(again, own, "left_anti").join(gone, own, "left_anti").select(*names_of(docs))
+    return rest.union(rows.where(F.col(name).isNull()).select(*names_of(docs))).union(once)
 
 
 #: DuckDB: all pairs that share a shingle, and a recursive walk over the links.

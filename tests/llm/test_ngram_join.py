@@ -141,3 +141,35 @@ def test_stage_decides_by_row_where_ids_are_null_or_repeat(spark):
     assert count(8, rows[12][1], rows[13][1]) == 1 and count(9, rows[14][1]) == 0
     assert sorted(g[0] for g in got if g[0] in (10, 11, 12)) == [10, 11] and count(11, " ".join(six)) == 1
     assert len([g for g in got if not g[1]]) == 4 and len(got) == 15
+
+
+def test_words_that_break_polynomial_hashes(spark):
+    """Sequences that collide for any polynomial modulo 2**64 are different words."""
+    morse = ["".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024)) for flip in (0, 1)]
+    docs = spark.createDataFrame([(1, f"x y z {morse[0]}"), (2, f"x y z {morse[1]}"), (3, f"X y\nz {morse[1]}")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in nj.linked_components(docs).select("id", "component").collect()) == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_sets_with_equal_halves_of_names_stay_apart(spark, monkeypatch):
+    """Names have 128 bits, and half of them may collide."""
+    monkeypatch.setattr(nj, "_name", lambda s: b"12345678" + nj.xxhash.xxh3_64_digest(s.tobytes()))
+    rng = random.Random(13)
+    bases = [["w%d" % rng.randrange(10**6) for _ in range(40)] for _ in range(4)]
+    rows = [(10 * k + i, " ".join([*b, "x%d" % i])) for k, b in enumerate(bases) for i in range(3)]
+    lists = [nj.keys(s, 0, nj.Scheme(4, 1, 1, 0)) for s in nj._sets(nj.pa.array([t for _, t in rows]), 4)]
+    run = nj._blocks(nj.Likeness(), nj.Likeness().edges(100), {b: nj.Scheme(4, 1, 1, 0) for b in range(40)}, 3)
+    blocks = list(run(iter([nj.pa.RecordBatch.from_arrays([nj.pa.array([t for _, t in rows])], ["text"])])))
+    members = [r for b in nj._meet(iter(blocks)) for r in b.to_pylist()]
+    assert lists and len({r["name"] for r in members}) == len(rows)
+    assert sorted(tuple(r) for r in nj.linked_components(spark.createDataFrame(rows, "doc_id long, text string")).select("id", "component").collect()) == [(i, i - i % 10) for i, _ in rows]
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, 5, "n", {"a": 1}, 1), (2, text, 6, "m", {"b": 1}, 2), (None, "alone here " * 9, 7, None, None, 3), (None, "", 8, "e", {}, 4), (7, text + " x", 9, "r", {}, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, name string, root map<string,int>, row int")
+    docs = docs.withColumnRenamed("row", "c.d")
+    got = nj.drop_near_copies(spark, docs, "")
+    assert got.schema == docs.schema
+    assert sorted(got.collect(), key=lambda r: r.id) == [tuple(rows[0]), tuple(rows[2]), tuple(rows[3])]
+    assert [tuple(r) for r in nj.drop_near_copies(spark, docs.where("doc_id > 0"), "").collect()] == [rows[0]]
