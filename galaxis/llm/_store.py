@@ -127,5 +127,11 @@ def _libc():
         return None
 
 
+def slices(column: pa.Array, most: int) -> Iterable[tuple[int, int]]:
+    """Ranges of rows of a text column of about `most` bytes."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    return pieces(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), most)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -8,26 +8,30 @@ its budget, in the order of a seeded hash.
 
 All steps are DataFrame operations on integers. A prefix is found without sorting a leaf: tokens are summed by leaf and
 leading hash digits, running sums over those find the one bucket in which the budget ends, and only that bucket's
-documents are ordered. So a leaf may hold any share of all rows.
+documents are ordered, after those with equal hashes are summed. The number of digits follows from the number of rows, so
+a leaf may hold any share of them, and null ids too.
 
 Defined cases: null languages and sources are leaves of their own; null texts have 0 tokens. Rows with equal ids have
 equal hashes and are taken or left together. A leaf without tokens gets no budget; its documents (no tokens each) are
-left out unless an epoch of them costs nothing and the leaf has a budget. An empty table gives an empty result.
+left out unless an epoch of them costs nothing and the leaf has a budget. An empty table gives an empty result. Other
+columns, of any name, stay as they are; the pipeline stage changes none.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galaxis.llm._store import read, remove, saved
+from galaxis.llm._store import names_of, read, remove, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS = ("m_domain", "m_lang", "m_source")
-#: Leading hash digits by which a leaf's tokens are summed: 4096 buckets a leaf.
-DIGITS = 3
+#: Leading hash digits by which a leaf's tokens are summed, at least: 4096 buckets a leaf, or as many more as it takes for
+#: a bucket of a leaf with all rows to have some BUCKET_ROWS of them.
+DIGITS, BUCKET_ROWS = 3, 10_000
 
 
 @dataclass(frozen=True)
@@ -98,14 +102,15 @@ def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, list[str]]:
     """For each leaf: m_full, the epochs it gives whole, and m_last, the largest hash that its next epoch gives; and the
     tables written on the way."""
     meta, place = saved(with_leaves(docs, mix).select("doc_id", *LEVELS, tokens().alias("n")), "mix")
+    digits = max(DIGITS, math.ceil(math.log(max(1, meta.count() / BUCKET_ROWS), 16)))
     supply = meta.groupBy(*LEVELS).agg(F.sum("n").alias("s"))
     full = F.when(F.col("s") > 0, F.least(F.expr("got div s"), F.lit(mix.max_epochs).cast("long"))).otherwise(F.lit(0).cast("long"))
     leaves, leaf_place = saved(budgets(supply, mix).withColumn("m_full", full).withColumn("rest", F.col("got") - F.col("m_full") * F.col("s")).drop("s", "got"), "leaves")
-    keyed = meta.join(leaves, list(LEVELS)).withColumn("h", order_key(mix, F.col("m_full") + 1)).withColumn("bucket", F.substring("h", 1, DIGITS))
+    keyed = meta.join(leaves, list(LEVELS)).withColumn("h", order_key(mix, F.col("m_full") + 1)).withColumn("bucket", F.substring("h", 1, digits))
     sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
     sums = sums.withColumn("cum", F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("bucket")))
     ends = sums.where("cum > rest").groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("cum") - F.col("n")).alias("base"))).alias("e")).select(*LEVELS, "e.*")
-    inside = keyed.join(ends, [*LEVELS, "bucket"])
+    inside = keyed.join(ends, [*LEVELS, "bucket"]).groupBy(*LEVELS, "bucket", "h").agg(F.sum("n").alias("n"), F.first("base").alias("base"), F.first("rest").alias("rest"))
     inside = inside.withColumn("cum", F.col("base") + F.sum("n").over(Window.partitionBy(*LEVELS, "bucket").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     last = inside.where("cum <= rest").groupBy(*LEVELS).agg(F.max("h").alias("last"))
     cut = ends.join(last, list(LEVELS), "left").select(*LEVELS, F.coalesce("last", "bucket").alias("m_last"))
@@ -115,16 +120,22 @@ def plan(docs: DataFrame, mix: Mix) -> tuple[DataFrame, list[str]]:
     return out, [out_place]
 
 
-def mixed(docs: DataFrame, mix: Mix, epoch: str = "epoch") -> DataFrame:
-    """The rows of docs that the mix takes, once for each epoch, with the number of the epoch from 1. Columns of docs
-    named like the levels (m_...) are replaced."""
-    leaves, _ = plan(docs, mix)
-    rows = with_leaves(docs, mix).join(leaves, list(LEVELS))
+def taken(docs: DataFrame, mix: Mix) -> DataFrame:
+    """The rows that the mix takes as a struct `doc`, their leaf, and m_epochs, how often each is taken."""
+    rows = docs.select(F.struct(*names_of(docs)).alias("doc"), "doc_id", "lang", "source")
+    leaves, _ = plan(docs.select("doc_id", "lang", "source", "text"), mix)
+    rows = with_leaves(rows, mix).join(leaves, list(LEVELS))
     partly = F.when(order_key(mix, F.col("m_full") + 1) <= F.col("m_last"), 1).otherwise(0)
-    rows = rows.withColumn("m_epochs", F.col("m_full") + partly).where("m_epochs > 0")
-    if mix.max_epochs == 1:
-        return rows.withColumn(epoch, F.lit(1).cast("long")).drop("m_full", "m_last", "m_epochs")
-    return rows.withColumn(epoch, F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_epochs")))).drop("m_full", "m_last", "m_epochs")
+    return rows.select("doc", *LEVELS, (F.col("m_full") + partly).alias("m_epochs")).where("m_epochs > 0")
+
+
+def mixed(docs: DataFrame, mix: Mix, epoch: str = "epoch") -> DataFrame:
+    """The rows of docs that the mix takes, once for each epoch, with their leaf (m_...) and the number of the epoch from 1;
+    columns of docs with these names are replaced."""
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("m_epochs"))) if mix.max_epochs > 1 else F.lit(1).cast("long")
+    rows = taken(docs, mix).select("doc", *LEVELS, each.alias("m_epoch"))
+    own = [F.col(f"doc.{c}") for c in names_of(docs.drop(*LEVELS, epoch))]
+    return rows.select(*own, *LEVELS, F.col("m_epoch").alias(epoch))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +148,8 @@ PIPELINE = Mix(share=(9, 10), max_epochs=1)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of the mix."""
-    return mixed(docs, PIPELINE).select(*docs.columns)
+    """Pipeline stage: documents of the mix, each once."""
+    return taken(docs, PIPELINE).select("doc.*")
 
 
 def _weights_sql(weights: dict[str, int], name: str) -> str:

@@ -66,3 +66,28 @@ def test_stage_and_empty_table(spark):
     out = mixing.mix_stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == 45
     assert mixing.mix_stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_columns_of_any_name_and_many_equal_ids(spark):
+    rows = [(i if i % 3 else None, "a b c", "en", "src1", i, "x", 1.5, None, 7) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, epoch int, m_full string, m_last double, doc string, n int")
+    docs = docs.withColumnRenamed("n", "m.n").withColumn("m_domain", mixing.F.lit("own"))
+    out = mixing.mix_stage(spark, docs, "")
+    assert out.schema.names == docs.schema.names
+    got = sorted(map(tuple, out.collect()), key=repr)
+    want = {r[0] for r in mixing_ids(rows)}
+    assert got == sorted(((*r, "own") for r in rows if r[0] in want), key=repr)
+    assert mixing.mixed(docs, mixing.PIPELINE).columns == [c for c in docs.columns if c not in ("epoch", "m_domain")] + ["m_domain", "m_lang", "m_source", "epoch"]
+
+
+def mixing_ids(rows):
+    return brute([(i, t, lang, s) for i, t, lang, s, *_ in rows], mixing.PIPELINE)
+
+
+def test_more_digits_for_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 0.0001)
+    rows = [(i, "w " * (i % 7), "en", "src1") for i in range(200)]
+    mix = mixing.Mix(share=(1, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed(docs, mix).select("doc_id", "m_domain", "lang", "source", "epoch").collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, mix)
