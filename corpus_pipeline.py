@@ -7,7 +7,7 @@ and read again as the next one's docs.
 4. mix: documents are taken by domain, language and source to the target weights, nine tenths of all tokens.
 5. tokens: documents are encoded and decoded; the result has digests of both.
 
-The first four return the columns of documents.
+The first four return the columns of documents. A stage's table is removed when the next one is written.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from galaxis.llm import bpe, line_dedup, mixing, ngram_join, quality
-from galaxis.llm._store import read, saved
+from galaxis.llm._store import read, remove, saved
 
 STAGES = [
     ("quality", quality.keep_good),
@@ -30,9 +30,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, place = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before:
+            remove(spark, before)
+        before = place
     return docs
 
 
