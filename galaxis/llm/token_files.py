@@ -13,7 +13,12 @@ all little-endian, so that one document is read with two short reads. The dictio
 named by its hash, which readers check.
 
 Defined cases: a null text counts as empty (only the end id is written); null document ids come first and are read back
-as null; rows that repeat an id stand side by side, ordered by their frames' bytes. An empty table has no shard.
+as null, and so is an id of -2**63; rows that repeat an id stand one after another, ordered by hashes of their frames, in
+as many shards as they take. An empty table has no shard. A very long text is one frame, encoded by itself. Other columns
+are not looked at.
+
+The dictionary's sample is taken from all rows by hash: SAMPLE of them, of each at most SAMPLE_CHARS characters. It changes
+sizes of files, never what is read back.
 """
 
 from __future__ import annotations
@@ -25,7 +30,6 @@ import json
 import math
 import os
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from itertools import chain, groupby
@@ -33,20 +37,22 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import new_folder, open_file, read, write_file
+from galaxis.llm._store import new_folder, open_file, read, slices, slim, write_file
 from galaxis.llm.bpe import WHITE, _class, tokenizer_path
 
 MAGIC = b"GXIDS001"
 NO_ID = -(2**63)
-KNOWN = 400_000
+#: Bytes of chunks and their ids that are remembered within a partition, and what one takes besides.
+KNOWN_BYTES, ENTRY = 48 << 20, 150
 #: The sample that the dictionary is trained on, and the characters used of a document of it.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 16_000, 1 << 16
-DOCS_PER_SHARD, MOST_SHARDS, LEVEL = 8192, 50_000, 1
+DOCS_PER_SHARD, MOST_SHARDS, LEVEL, PIECE_BYTES = 8192, 50_000, 1, 1 << 20
 _encoders: dict[str, WordEncoder] = {}
 
 #: The parts of the vocabulary file that WordEncoder's own splitting stands for.
@@ -57,12 +63,24 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: What str.split() takes for white space and Unicode doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]").search
+#: Characters beyond Latin-1 for which lower case, composition and class are each character's own and alike in all versions
+#: of Unicode: letters below the combining marks but the dotted capital I, general punctuation, currencies, trade mark.
+BEYOND = re.compile("[^\x00-\u012f\u0131-\u02ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2122]").search
+
+
+def plain(text: str) -> bool:
+    """True if the text has characters only that Python and the library treat alike."""
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return BEYOND(text) is None
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, which sees each distinct chunk between white space once: texts are normalised as
-    the vocabulary file says and split, and chunks are looked up. Texts with strings of special tokens, and vocabularies
-    of another make, go to the library whole."""
+    """Ids by the tokenizers library, which sees each distinct chunk between white space once: plain() texts are put in
+    lower case and split here, and chunks are looked up. All other texts, those with strings of special tokens, and
+    vocabularies of another make go to the library whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -86,8 +104,9 @@ class WordEncoder:
         letters, numbers = _class("L"), _class("N")
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+").findall
         added = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
-        self.special = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -107,11 +126,6 @@ class WordEncoder:
             data, ends = ids.astype(f"<u{self.width}").tobytes(), (ends[words - 1] * self.width).tolist()
             yield from zip(part, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
 
-    @staticmethod
-    def normal(text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
-        return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian."""
         gc.disable()  # many small objects are made, and no cycles
@@ -121,15 +135,15 @@ class WordEncoder:
             gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > KNOWN:
-            self.known.clear()
+        if self.held > KNOWN_BYTES:
+            self.forget()
         get, out, lacking = self.known.get, [], []
         for t in texts:
             t = t or ""
-            if not self.by_word or self.special(t) or ODD_SPACE(t):
+            if not self.by_word or not plain(t) or self.special(t) or ODD_SPACE(t):
                 out.append([self._ids([t])[0]])
                 continue
-            chunks = self.normal(t).split()
+            chunks = t.lower().split()
             found = list(map(get, chunks))
             if None in found:
                 lacking.append((chunks, found))
@@ -142,11 +156,16 @@ class WordEncoder:
                 at = found.index(None, at + 1)
                 fresh[chunks[at]] = None
                 places.append((found, at, chunks[at]))
-        self.known.update(self._chunks(list(fresh)))
+        for chunk, ids in self._chunks(list(fresh)):
+            self.known[chunk] = ids
+            self.held += ENTRY + len(chunk) + len(ids)
         for found, at, chunk in places:
             found[at] = get(chunk)
         return list(map(b"".join, out))
 
+    def forget(self) -> None:
+        self.known, self.held = {}, 0
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
@@ -170,14 +189,22 @@ def _name(digest: bytes) -> str:
     return f"dictionary-{digest.hex()}.zdict"
 
 
-FRAMES = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("frame", T.BinaryType())])
+FRAMES = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("doc", T.LongType()), T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("frame", T.BinaryType())])
 SHARDS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
 
+def _shards(cuts: np.ndarray, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Shards of documents by where their ids lie among the cuts. An id that makes up several cuts has as many shards, and
+    its rows lie in them by their hashes."""
+    first = np.searchsorted(cuts, ids)
+    many = np.maximum(np.searchsorted(cuts, ids, "right") - first, 1)
+    return (first + ((hashes >> np.uint64(32)) * many.astype(np.uint64) >> np.uint64(32)).astype(np.int64)).astype(np.int32)
+
+
 def _shard_parts(rows: Iterator[tuple], head: bytes, count: list[int]) -> Iterator[bytes]:
     docs, ends, numbers, at = [], [], [], len(head)
     yield head
-    for _, doc, n, frame in rows:
+    for _, doc, _, n, frame in rows:
         at += len(frame)
         docs.append(doc)
         ends.append(at)
@@ -191,14 +218,16 @@ def _shard_parts(rows: Iterator[tuple], head: bytes, count: list[int]) -> Iterat
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", per_shard: int = DOCS_PER_SHARD) -> list[tuple[str, int, int]]:
     """Write shards of docs into a folder of the shared store. Returns (name, documents, ids) of each in order; there are
     MOST_SHARDS at most, which then hold more documents."""
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"))
     rows = docs.count()
     if not rows:
         return []
     n = min(MOST_SHARDS, math.ceil(rows / per_shard))
-    bounds = docs.approxQuantile("doc", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    bounds = np.unique(np.array(bounds, np.int64))
-    sample = docs.limit(SAMPLE).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()  # of the first files: no pass over all
+    cuts = docs.approxQuantile("doc", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
+    cuts = np.clip(np.sort(np.array(cuts, np.float64)), -(2.0**63), 2.0**63 - 1024).astype(np.int64)
+    h = F.xxhash64("doc", "text")
+    some = docs.where(h < -(2**63) + 2**64 * 2 * SAMPLE // rows) if rows > 2 * SAMPLE else docs
+    sample = some.orderBy(h).limit(SAMPLE).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
     dictionary = train(encoder(vocabulary).encode([r.text for r in sample]))
     digest = hashlib.sha256(dictionary).digest()
     write_file(folder, _name(digest), [dictionary])
@@ -209,22 +238,25 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, doc_id
         end = np.array([end_id], f"<u{own.width}").tobytes()
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary)).compress
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [NO_ID if x is None else x for x in part.column(0).to_pylist()]
+            for i, j in slices(batch.column(1), PIECE_BYTES):
+                part = batch.slice(i, j - i)
+                ids = part.column(0).to_numpy()
                 data = [x + end for x in own.encode(part.column(1).to_pylist())]
-                shards = np.searchsorted(bounds, np.array(ids, np.int64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(ids, pa.int64()), pa.array([len(x) // own.width for x in data], pa.int32()), pa.array([pack(x) for x in data], pa.binary())], names=FRAMES.names)
-        own.known.clear()
+                frames = list(map(pack, data))
+                hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in frames], np.uint64)
+                made = (_shards(cuts, ids, hashes), ids, hashes.view(np.int64), np.array([len(x) // own.width for x in data], np.int32))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, made), pa.array(frames, pa.binary())], names=FRAMES.names)
+        own.forget()
+        slim()
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        stream = (row for batch in batches for at in range(0, batch.num_rows, 512) for row in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns), strict=True))
         for shard, rows in groupby(stream, itemgetter(0)):
             count: list[int] = []
             write_file(folder, name := f"ids-{shard:05d}.gx", _shard_parts(rows, head, count))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": [count[0]], "n_tokens": [count[1]]})
 
-    frames = docs.mapInArrow(encode, FRAMES).repartition(n, "shard").sortWithinPartitions("shard", "doc", "frame")
+    frames = docs.mapInArrow(encode, FRAMES).repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "doc", "h", "frame")
     return [(r.name, r.n_docs, r.n_tokens) for r in sorted(frames.mapInArrow(save, SHARDS).collect())]
 
 

@@ -59,3 +59,54 @@ def test_empty_table_and_changed_dictionary(spark, tmp_path):
     next((tmp_path / "ids").glob("*.zdict")).write_bytes(b"other")
     with pytest.raises(ValueError):
         tf.Shard(folder, name)
+
+
+def same(library, texts):
+    own = tf.WordEncoder(tf.tokenizer_path("word_bpe_49k.json"))
+    for at in range(0, len(texts), 2000):
+        part = texts[at : at + 2000]
+        want = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(part, add_special_tokens=False)]
+        assert [t for t, a, b in zip(part, own.encode(part), want, strict=True) if a != b] == []
+
+
+def test_every_character_as_the_library(library):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert sum(tf.plain(chr(c)) for c in points) > 700
+    # Characters that are not plain go to the library, so of these some will do.
+    some = [chr(c) for c in points if tf.plain(chr(c)) or c < 0x3100 or c % 97 == 0]
+    same(library, [f"x{c}y {c}{c} 1{c}'s {c}" for c in some])
+
+
+def test_random_texts_and_marks_as_the_library(library):
+    rng = random.Random(11)
+    plain = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and tf.plain(chr(c))]
+    same(library, ["".join(rng.choice(plain) if rng.random() < 0.5 else rng.choice("abcs t'R 1") for _ in range(rng.randrange(40))) for _ in range(20_000)])
+    odd = ["֚࢞", "᷷ᷙ", "഼݃", "᷹̓", "Ᲊ", "Ɤ", "\U000105c0", "İ", "Σ", "́", "ﬃ", " ", "<|ENDOFTEXT|>", "<|endoftext|>"]
+    marks = [chr(c) for c in (*range(0x300, 0x370), *range(0x591, 0x5C8), *range(0x1DC0, 0x1E00), *range(0x0898, 0x08A0))]
+    same(library, ["".join(rng.choice((rng.choice(odd), rng.choice(marks), rng.choice("aeE n1'"))) for _ in range(rng.randrange(30))) for _ in range(20_000)])
+
+
+def test_hot_and_null_ids_take_several_shards(spark, tmp_path):
+    words = ["a", "b c", "d e f", "once more", "and again"]
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"{words[i % 5]} {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = f"file://{tmp_path}/ids"
+    shards = tf.write(docs, folder, tf.tokenizer_path("word_bpe_49k.json"), per_shard=20)
+    assert sum(x[1] for x in shards) == 600 and max(x[1] for x in shards) < 80
+    got = sorted(tf.digests(spark, folder, shards).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+
+
+def test_query_equals_the_library(spark, library):
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    start, want = 0, []
+    for r in spark.read.parquet(f"{folder}/documents.parquet").orderBy("doc_id").select("doc_id", "text").collect():
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, tf.op9_token_files(spark, folder).collect())) == want
