@@ -1,11 +1,14 @@
 """URL filtering by a rule list and by mined association rules.
 
 A list of rules (host and start of a path) decides first: a rule fits its host and all subdomains, and the longest that
-fits wins. Labels are the list's verdicts, and for URLs that it leaves open the labels of a table. From these
-combinations of URL tokens are counted, level by level; the ones are kept that reach a support and a confidence and that
-contain no shorter kept combination. (FP-growth makes all subsets of what is frequent, of any length; levels end at the
-tokens that a rule may have.) They judge the URLs that the list leaves open, through an inverted index from tokens to
-rules: a URL is blocked if some rule for "block" has all its tokens among the URL's.
+fits wins. Labels are the list's verdicts, and for URLs that it leaves open the labels of a table. From these Spark's
+FP-growth mines combinations of URL tokens; the ones are kept that reach a support and a confidence and that contain no
+shorter kept combination. They judge the URLs that the list leaves open, through an inverted index from tokens to rules: a
+URL is blocked if some rule for "block" has all its tokens among the URL's.
+
+FP-growth makes all subsets of what is frequent, so it gets no more than it needs: not the tokens that are rare among the
+URLs of a label, nor those that are rules by themselves; and tokens that always occur together, as the names of a template
+do, go in as one and may stand for each other in a rule. Rules have `most_tokens` tokens at most, which bounds the model.
 
 Defined cases: a null url, or one without "://", has an empty host and path, no tokens and the verdict "allow"; repeated
 rows are judged one by one; without labelled URLs, or with labels of one kind, there may be no rules: then what the list
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import read, saved
+from galaxis.llm._store import read, remove, saved
 
 #: Host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
@@ -87,7 +90,7 @@ def with_tokens(urls: DataFrame, url: str = "url") -> DataFrame:
 class Mining:
     """support: the least share of labelled URLs that a combination with its label has; confidence: of the URLs with the
     combination, the least share with the label; least_rows: the least number of URLs that a rule rests on. Support
-    and most_tokens bound the model; no rule is cut off."""
+    and most_tokens bound the model; of what reaches them nothing is cut off."""
 
     least_rows: int = 20
     support: float = 0.002
@@ -97,103 +100,120 @@ class Mining:
 
 @dataclass(frozen=True)
 class Rule:
+    """also: for each token, itself and those that may stand for it."""
+
     tokens: tuple[str, ...]
     label: str
     confidence: float
     support: float
+    also: tuple[tuple[str, ...], ...] = ()
 
-
-COMBINED = T.StructType([T.StructField("items", T.ArrayType(T.IntegerType())), T.StructField("total", T.LongType()), T.StructField("hits", T.LongType())])
+    def choices(self) -> tuple[tuple[str, ...], ...]:
+        return self.also or tuple((x,) for x in self.tokens)
 
 
-def _combined(label: str, size: int, number: dict[str, int], open_: set[tuple[int, ...]]):
-    """Combinations of `size` tokens, all of whose smaller ones are in open_, with the URLs that have them in a batch of
-    (tokens, label, count): all, and those with the label."""
+ITEMS = T.StructType([T.StructField("items", T.ArrayType(T.IntegerType()))])
+#: The item of a row that has the label.
+LABEL = -1
 
-    def of(names: list[str]) -> Iterator[tuple[int, ...]]:
-        have = sorted({number[x] for x in names if x in number})
-        for c in combinations(have, size - 1):
-            if c in open_:
-                for x in have:
-                    if x > c[-1] and all(c[:i] + c[i + 1 :] + (x,) in open_ for i in range(size - 1)):
-                        yield (*c, x)
 
-    def out(counts: dict[tuple[int, ...], list[int]]) -> pa.RecordBatch:
-        total, hits = zip(*counts.values(), strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array(total, pa.int64()), pa.array(hits, pa.int64())], names=COMBINED.names)
+def _items(label: str, number: dict[str, int]):
+    """Transactions of rows (tokens, label) with two or more of the numbered tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, ...], list[int]] = {}
         for batch in batches:
-            for names, own, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for c in of(names):
-                    at = counts.setdefault(c, [0, 0])
-                    at[0] += n
-                    at[1] += n if own == label else 0
-                if len(counts) >= 100_000:
-                    yield out(counts)
-                    counts = {}
-        if counts:
-            yield out(counts)
+            rows = []
+            for names, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                have = {number[x] for x in names if x in number}
+                if len(have) > 1:
+                    rows.append([*sorted(have), LABEL] if own == label else sorted(have))
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=ITEMS.names)
 
     return run
 
 
+def _combined(rows: DataFrame, label: str, number: dict[str, int], least: int, mining: Mining) -> list[tuple[tuple[int, ...], int, int]]:
+    """Combinations of two numbered tokens or more that reach the support and the confidence, with the rows that have them:
+    all, and those with the label."""
+    from pyspark.ml.fpm import FPGrowth
+
+    spark = rows.sparkSession
+    items, place = saved(rows.select("tokens", "label").mapInArrow(_items(label, number), ITEMS), "items")
+    n = items.count()
+    if n < least:
+        remove(spark, place)
+        return []
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(items)
+    of_label = F.array_contains("items", LABEL)
+    tokens = F.array_sort(F.array_remove("items", LABEL)).alias("tokens")
+    sets = model.freqItemsets.select(tokens, of_label.alias("own"), "freq").where(F.size("tokens").between(2, mining.most_tokens))
+    sets, sets_place = saved(sets, "itemsets")
+    hits = sets.where("own").select("tokens", F.col("freq").alias("hits"))
+    found = sets.where("NOT own").select("tokens", F.col("freq").alias("total")).join(hits, "tokens").where(F.col("hits") / F.col("total") >= mining.confidence).collect()
+    remove(spark, place, sets_place)
+    return [(tuple(r.tokens), r.total, r.hits) for r in found]
+
+
 def mine(labelled: DataFrame, mining: Mining | None = None, only: str | None = None) -> list[Rule]:
     """labelled: tokens and label. Rules (for one label only) without a kept subset for the same label, in a fixed order.
-    All rows count; what the driver holds are the combinations that reach the support."""
+    All rows count; what the driver holds are tokens that reach the support, and rules."""
     mining = mining or Mining()
-    rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).groupBy("tokens", "label").count()
-    rows, _ = saved(rows, "labelled")
-    by_label = {r.label: r.n for r in rows.groupBy("label").agg(F.sum("count").alias("n")).collect()}
+    rows = labelled.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).select(F.array_distinct("tokens").alias("tokens"), "label")
+    rows, place = saved(rows.withColumn("row", F.xxhash64(F.monotonically_increasing_id())), "labelled")
+    by_label = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n = sum(by_label.values())
-    if n < mining.least_rows or not n:
-        return []
-    least = max(1, mining.least_rows, ceil(mining.support * n))
     kept: list[Rule] = []
-    for label in sorted(by_label) if only is None else [only]:
-        number: dict[str, int] = {}
-        open_: set[tuple[int, ...]] = set()
-        for size in range(1, mining.most_tokens + 1):
-            if size == 1:
-                each = rows.select(F.explode(F.array_distinct("tokens")).alias("items"), F.col("count").alias("total"), F.when(F.col("label") == label, F.col("count")).otherwise(0).alias("hits"))
-            else:
-                each = rows.select("tokens", "label", "count").mapInArrow(_combined(label, size, number, open_), COMBINED)
-            found = each.groupBy("items").agg(F.sum("total").alias("total"), F.sum("hits").alias("hits")).where(F.col("hits") >= least).collect()
-            names = {i: x for x, i in number.items()}
-            open_ = set()
-            for r in found:
-                if r.hits / r.total >= mining.confidence:
-                    kept.append(Rule((r.items,) if size == 1 else tuple(sorted(names[i] for i in r.items)), label, r.hits / r.total, r.hits / n))
-                elif size == 1:
-                    open_.add((number.setdefault(r.items, len(number)),))
-                else:
-                    open_.add(tuple(r.items))
-            if len(open_) <= size:
-                break
+    if n and n >= mining.least_rows:
+        least = max(1, mining.least_rows, ceil(mining.support * n))
+        for label in sorted(by_label) if only is None else [only]:
+            kept += _mined(rows, label, n, least, mining)
+    remove(labelled.sparkSession, place)
     kept.sort(key=lambda r: (len(r.tokens), -r.support, r.tokens, r.label))
     return kept
 
 
+def _mined(rows: DataFrame, label: str, n: int, least: int, mining: Mining) -> list[Rule]:
+    """Rules for a label from rows (tokens, label, row: a number of its own)."""
+    own = F.col("label") == label
+    single = rows.select(F.explode("tokens").alias("token"), "row", F.when(own, 1).otherwise(0).alias("hit"))
+    single = single.groupBy("token").agg(F.count("*").alias("total"), F.sum("hit").alias("hits"), F.bit_xor("row").alias("where1"), F.bit_xor(F.xxhash64("row")).alias("where2"))
+    kept: list[Rule] = []
+    alike: dict[tuple, list[str]] = {}
+    for r in sorted(single.where(F.col("hits") >= least).collect(), key=lambda r: r.token):
+        if r.hits / r.total >= mining.confidence:
+            kept.append(Rule((r.token,), label, r.hits / r.total, r.hits / n))
+        else:
+            alike.setdefault((r.total, r.hits, r.where1, r.where2), []).append(r.token)
+    groups = list(alike.values())
+    if len(groups) < 2 or mining.most_tokens < 2:
+        return kept
+    number = {x: i for i, group in enumerate(groups) for x in group}
+    have: set[tuple[int, ...]] = set()
+    for c, total, hits in sorted(_combined(rows, label, number, least, mining), key=lambda x: (len(x[0]), x[0])):
+        if not any(x in have for k in range(2, len(c)) for x in combinations(c, k)):
+            have.add(c)
+            also = sorted((tuple(groups[i]) for i in c), key=lambda x: x[0])
+            kept.append(Rule(tuple(x[0] for x in also), label, hits / total, hits / n, tuple(also)))
+    return kept
+
+
 class Index:
-    """Rules by token: a URL's tokens count up the rules that have them, and a rule fits once it is complete."""
+    """Rules by token: a URL's tokens count up the places of the rules that have them, and a rule fits once it is full."""
 
     def __init__(self, rules: list[Rule]):
         self.rules = rules
-        self.lists: dict[str, list[int]] = {}
+        self.lists: dict[str, list[tuple[int, int]]] = {}
         for i, rule in enumerate(rules):
-            for token in rule.tokens:
-                self.lists.setdefault(token, []).append(i)
+            for place, choice in enumerate(rule.choices()):
+                for token in choice:
+                    self.lists.setdefault(token, []).append((i, place))
 
     def fits(self, names: list[str]) -> list[Rule]:
-        count: dict[int, int] = {}
-        out = []
+        full: dict[int, set[int]] = {}
         for token in names:
-            for i in self.lists.get(token, ()):
-                count[i] = count.get(i, 0) + 1
-                if count[i] == len(self.rules[i].tokens):
-                    out.append(i)
-        return [self.rules[i] for i in sorted(out)]
+            for i, place in self.lists.get(token, ()):
+                full.setdefault(i, set()).add(place)
+        return [self.rules[i] for i in sorted(full) if len(full[i]) == len(self.rules[i].tokens)]
 
 
 JUDGED = [T.StructField("mined_rule", T.StringType()), T.StructField("mined_confidence", T.DoubleType()), T.StructField("mined_verdict", T.StringType())]

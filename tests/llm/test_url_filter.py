@@ -100,3 +100,58 @@ def test_block_rules_stay_beside_many_allow_rules(spark):
     urls = spark.createDataFrame([(["a", "b"],), (["a"],)], "tokens array<string>")
     assert {tuple(r.tokens): r.mined_verdict for r in uf.judge(urls, uf.mine(labelled, mining)).collect()} == {("a", "b"): "block", ("a",): "allow"}
     assert [(r.tokens, r.label) for r in uf.mine(labelled, mining, only="block")] == [(("a", "b"), "block")]
+
+
+def test_tokens_that_always_occur_together_stand_for_each_other(spark):
+    """Thirty names of a template would have 2**30 subsets."""
+    form = [f"k{i:02d}" for i in range(30)]
+    rows = [([*form, "bad"], "block")] * 12 + [(form, "allow")] * 30 + [(["bad"], "allow")] * 30 + [(["other"], "allow")] * 9
+    rules = uf.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), uf.Mining(least_rows=2, support=0.01), only="block")
+    assert [(r.tokens, r.label, r.confidence) for r in rules] == [(("bad", "k00"), "block", 1.0)]
+    index = uf.Index(rules)
+    assert index.fits(["k17", "bad"]) and index.fits(["bad", *form]) and not index.fits(form) and not index.fits(["bad", "other"])
+
+
+def test_query_equals_brute_force_with_labels(spark, tmp_path):
+    """The whole query on a small table: the list, labels by id, rules over all tokens, verdicts."""
+    rng = random.Random(21)
+    urls = list(URLS)
+    for _ in range(2500):
+        host = rng.choice(["a.org", "b.org", "shop.c.org", "d.net", "www.example.com", "x.com", "e.f.g.h.org"])
+        path = "/".join(rng.choice(["casino", "news", "2024", "p1", "fr", "es", "en", "x.html"]) for _ in range(rng.randrange(4)))
+        urls.append(f"http{rng.choice(['', 's'])}://{host}/{path}{rng.choice(['', '', '?id=3&ref=q', '#top'])}")
+    pages = [(i, u) for i, u in enumerate(urls)] + [(None, urls[-1]), (3, urls[-2])]
+    bad = lambda u: "casino" in (u or "") and "ref=" in (u or "") or "shop" in (u or "") and rng.random() < 0.97
+    labels = [(i, 1, 1 if bad(u) else 0) for i, u in enumerate(urls) if i % 2] + [(21, 0, 0), (None, 0, 1), (25, None, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    label = {}
+    for i, quality, toxic in labels:
+        if i is not None:
+            label[i] = "block" if toxic == 1 or quality == 0 or label.get(i) == "block" else "allow"
+    known, want = [], []
+    for i, u in pages:
+        host, path, rule, verdict = hand(u)
+        names = uf.tokens(u, host, path)
+        want.append((i, host, path, rule, verdict, names))
+        own = verdict or label.get(i)
+        if own and names:
+            known.append((names, own))
+    mining = uf.Mining()
+    least = max(mining.least_rows, mining.support * len(known))
+    from collections import Counter
+    from itertools import combinations
+
+    total, hits = Counter(), Counter()
+    for names, own in known:
+        for c in (c for k in range(1, mining.most_tokens + 1) for c in combinations(sorted(set(names)), k)):
+            total[c] += 1
+            hits[c] += own == "block"
+    good = {c for c in total if hits[c] >= least and hits[c] / total[c] >= mining.confidence}
+    assert any(len(c) > 1 and not any(s in good for k in range(1, len(c)) for s in combinations(c, k)) for c in good)
+    fits = lambda names: any(set(c) <= set(names) for c in good)
+    want = [(i, host, path, rule, verdict or ("block" if fits(names) else "allow")) for i, host, path, rule, verdict, names in want]
+    got = uf.op3_url_filter(spark, str(tmp_path)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert {"block", "allow"} == {w[4] for w in want if w[3] is None}
