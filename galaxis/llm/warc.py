@@ -1,6 +1,7 @@
 """WARC archives with a Zstandard dictionary.
 
-A dictionary is built from a bounded sample of the records themselves. Every archive begins with a skippable frame that
+A dictionary is built from a bounded sample of the records themselves: SAMPLE of all by hash, of each payload at most
+SAMPLE_CHARS characters, which changes sizes of archives and never what is read back. Every archive begins with a skippable frame that
 holds it, followed by one Zstandard frame for each record, so that records can be read singly and an archive needs no
 other file. Pages with equal payloads are found by their digests alone; of those of at least `min_bytes` bytes, the one
 with the largest page id is a response and the others are revisits, which carry headers but no payload. Each task writes
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import new_folder, open_file, read, saved, write_file
+from galaxis.llm._store import new_folder, open_file, read, remove, saved, slim, write_file
 
 #: Fixed value: the skippable frame's number for dictionaries in archives.
 SKIPPABLE = 0x184D2A5D
 DATE = "1970-01-01T00:00:00Z"
 LEVEL, SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 3, 400, 16_000, 1 << 16
-#: The most keys of repeated payloads that are broadcast; more are joined by a shuffle.
+#: The most keys of repeated payloads that are broadcast. If there are more, these are the most frequent ones, and the rest
+#: are joined by a shuffle: none of them has more than this part of all rows.
 MOST_BROADCAST = 200_000
 URN = "urn:page:"
 
@@ -65,21 +67,27 @@ def train(samples: list[bytes], most: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(samples)[-most:]
 
 
-def with_types(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """pages (page_id, url, html) with digest and the page that each revisit refers to. Payloads are moved only where
-    more than MOST_BROADCAST of them are repeated."""
+def with_types(pages: DataFrame, min_bytes: int = 1000, most: int = MOST_BROADCAST) -> tuple[DataFrame, str]:
+    """pages (page_id, url, html) with digest and the page that each revisit refers to, and the place of the table of
+    repeated payloads. Payloads are moved only where more than `most` of them are repeated."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     hashed = pages.withColumn("digest", F.sha1(payload))
     repeated = (
         hashed.where(F.octet_length(payload) >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first_id"))
-        .where((F.col("n") > 1) & F.col("first_id").isNotNull()).select("digest", "first_id")
+        .where((F.col("n") > 1) & F.col("first_id").isNotNull())
     )
-    repeated, _ = saved(repeated, "repeated")
-    if repeated.count() <= MOST_BROADCAST:
-        repeated = F.broadcast(repeated)
+    repeated, place = saved(repeated, "repeated")
+    keys, rows = repeated.agg(F.count("*"), F.sum("n")).first()
+    if keys <= most:
+        typed = hashed.join(F.broadcast(repeated.drop("n")), "digest", "left")
+    else:
+        hot = F.col("n") * most > rows  # so fewer than `most` are hot
+        frequent = F.broadcast(repeated.where(hot).drop("n"))
+        others = hashed.join(frequent, "digest", "left_anti").join(repeated.where(~hot).drop("n").hint("shuffle_merge"), "digest", "left")
+        typed = hashed.join(frequent, "digest").unionByName(others)
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return hashed.join(repeated, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
+    return typed.withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id"), place
 
 
 ARCHIVES = T.StructType([T.StructField("name", T.StringType()), T.StructField("n_records", T.LongType())])
@@ -87,9 +95,10 @@ ARCHIVES = T.StructType([T.StructField("name", T.StringType()), T.StructField("n
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 1000) -> list[str]:
     """Write the archives of pages into a folder of the shared store; returns their names."""
-    typed = with_types(pages, min_bytes)
-    # Of the first files: no pass over all.
-    sample = pages.limit(SAMPLE).select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
+    typed, place = with_types(pages, min_bytes)
+    rows, h = pages.count(), F.xxhash64("page_id", "url", F.length("html"))
+    some = pages.where(h < -(2**63) + 2**64 * 2 * SAMPLE // rows) if rows > 2 * SAMPLE else pages
+    sample = some.orderBy(h).limit(SAMPLE).select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
     payloads = [(r.page_id, r.url, (r.html or "").encode()) for r in sample]
     dictionary = train([record(i, url, data, len(data), hashlib.sha1(data).digest()) for i, url, data in payloads])
 
@@ -97,7 +106,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 1000) -> list[str]:
         from pyspark import TaskContext
 
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_checksum=True).compress
-        rows = (row for batch in batches for at in range(0, batch.num_rows, 256) for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True))
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True))
         first = next(rows, None)
         if first is None:
             return
@@ -117,8 +126,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 1000) -> list[str]:
         name = f"part-{TaskContext.get().partitionId():06d}.warc.zst"
         write_file(folder, name, parts())
         yield pa.RecordBatch.from_pydict({"name": [name], "n_records": [count]})
+        slim()
 
-    return sorted(r.name for r in typed.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(save, ARCHIVES).collect())
+    names = sorted(r.name for r in typed.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(save, ARCHIVES).collect())
+    remove(pages.sparkSession, place)
+    return names
 
 
 def records(file) -> Iterator[tuple[dict[str, str], bytes, bytes]]:

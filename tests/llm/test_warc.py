@@ -38,3 +38,18 @@ def test_archives_begin_with_their_dictionary(spark, tmp_path):
     assert raw[:4] == bytes.fromhex("5d2a4d18") and len(raw) < 200 * 300
     assert len(list(warc.records(warc.open_file(folder, name)))) == 200
     assert warc.read_back(spark, folder, warc.write(pages.limit(0), folder)).count() == 0
+
+
+def test_more_repeated_payloads_than_are_broadcast(spark):
+    from collections import defaultdict
+
+    body = lambda k: f"<p>{k}</p>" * 200
+    rows = [(i, f"http://x/{i}", body(i % 3 if i % 2 else i % 40)) for i in range(300)] + [(1000, "u", None), (1001, "u", "short"), (1002, "u", "short")]
+    largest = defaultdict(int)
+    for i, _, html in rows:
+        largest[html] = max(largest[html], i)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (1000, 5):
+        typed, _ = warc.with_types(pages, most=most)
+        got = {r.page_id: r.refers_to for r in typed.collect()}
+        assert got == {i: None if i == largest[html] or len(html or "") < 1000 else largest[html] for i, _, html in rows}
