@@ -6,8 +6,11 @@ from a heap in ascending order; a rank is applied at all its positions, and the
 updated. Texts are then lookups of whole pre-tokens. One pass, no shuffle.
 
 Defined cases: a null text is encoded as an empty one (no ids); a pre-token may be as long as the whole text; the
-strings of special tokens in a text become their ids, as the tokenizers library does by default. Known pre-tokens are
-kept within a partition up to a bound and then forgotten, which changes no result.
+strings of special tokens in a text become their ids, as the tokenizers library does by default; an empty table has an
+empty result, and repeated rows are encoded one by one. Texts are taken by about PIECE_BYTES at a time, a longer one by
+itself; known pre-tokens are kept within a partition up to KNOWN_BYTES, and beyond it but for the latest forgotten, which
+changes no result. A worker takes some 100 MB beside what Python and Arrow take, and 120 bytes for each byte of a longer
+text than PIECE_BYTES.
 """
 
 from __future__ import annotations
@@ -28,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from galaxis.llm._store import pieces, read
+from galaxis.llm._store import mapped, pieces, read, slices, slim
 
-#: Pre-tokens that are remembered within a partition.
-KNOWN = 200_000
+#: Bytes of pre-tokens and their ids that are remembered within a partition, and what one takes besides its text and ids.
+KNOWN_BYTES, ENTRY = 24 << 20, 150
 #: Places from which on a rank is applied to all at once; bytes of text that are encoded together.
-MANY, PIECE_BYTES = 32, 4 << 20
+MANY, PIECE_BYTES = 32, 1 << 20
 _codecs: dict[str, ByteBPE] = {}
 
 
@@ -90,6 +93,7 @@ class ByteBPE:
         self.bytes: dict[int, bytes] = {i: bytes(map(byte.__getitem__, s)) for s, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.bytes.update({i: s.encode() for s, i in self.special.items()})
+        self.decimal = [b"%d," % i for i in range(max(self.bytes) + 1)]
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.split = splitter().findall
 
@@ -115,7 +119,10 @@ class ByteBPE:
             for symbol in (key >> 24, key & 0xFFFFFF):
                 least[symbol] = min(rank, least.get(symbol, rank))
         self.backward = {rank for rank, (_, _, m) in enumerate(merges) if least.get(m, rank) < rank}
-        self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        #: Ids of pre-tokens, little-endian in four bytes each.
+        self.store: dict[str | int, bytes] = {}
+        self.held = 0
+        self.decimal = [b"%d," % i for i in range(max((*start, *(m for *_, m in merges)), default=0) + 1)]
 
     def _apply(self, places: list[int], rank: int, symbols: np.ndarray, follow: np.ndarray, before: np.ndarray, index: dict, heap: list[int]) -> None:
         """A rank at all its places at once, for two different symbols: no two of its pairs then overlap."""
@@ -218,15 +225,14 @@ class ByteBPE:
                             index[rank] = rest
                             push(heap, rank)
                     break
-        known = self.known
         kept = np.flatnonzero(state >= 0)
-        flat = state[kept].tolist()
-        cuts = np.searchsorted(kept, ends).tolist()
+        flat = state[kept].astype("<u4").tobytes()
+        cuts = (np.searchsorted(kept, ends) * 4).tolist()
         at = 0
         for token, end in zip(tokens, cuts, strict=True):
-            ids = flat[at:end]
-            known[token] = (tuple(ids), ",".join(map(str, ids)))
+            self.store[token] = flat[at:end]
             at = end
+        self.held += ENTRY * len(tokens) + len(data) + len(flat)
 
     def parts(self, text: str) -> list[str | int]:
         """Pre-tokens of a text, and ids of special tokens."""
@@ -239,29 +245,44 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[list[int], str]]:
         """The ids of each text, and the ids as decimal numbers with commas."""
+        for packed in self.packed(texts):
+            ids = np.frombuffer(packed, "<u4").tolist()
+            yield ids, b"".join(map(self.decimal.__getitem__, ids))[:-1].decode()
+
+    def packed(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text, little-endian in four bytes each."""
         sizes = np.concatenate(([0], np.cumsum([len(t or "") for t in texts])))
         for start, stop in pieces(sizes, PIECE_BYTES):
             split = [self.parts(t or "") for t in texts[start:stop]]
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            get = self.known.get
+            if self.held > KNOWN_BYTES:  # what comes again now is likely to do so later
+                self.store = {t: self.store[t] for t in set(chain.from_iterable(split)) if t in self.store}
+                self.held = sum(ENTRY + len(x) + (len(t) if isinstance(t, str) else 0) for t, x in self.store.items())
+                if self.held > KNOWN_BYTES // 2:
+                    self.forget()
+            get = self.store.get
             found = [list(map(get, tokens)) for tokens in split]
             lacking = [k for k, got in enumerate(found) if None in got]
             fresh = {t for k in lacking for t, got in zip(split[k], found[k], strict=True) if got is None}
             for i in [x for x in fresh if isinstance(x, int)]:
-                self.known[i] = ((i,), str(i))
+                self.store[i] = i.to_bytes(4, "little")
                 fresh.discard(i)
             if fresh:
-                gc.disable()  # it makes many tuples and no cycles
+                gc.disable()  # it makes many lists and no cycles
                 try:
                     self.learn(list(fresh))
                 finally:
                     gc.enable()
             for k in lacking:
                 found[k] = list(map(get, split[k]))
-            for got in found:
-                ids, shown = zip(*got, strict=True) if got else ((), ())
-                yield list(chain.from_iterable(ids)), ",".join(shown)
+            yield from map(b"".join, found)
+    @property
+    def known(self) -> dict[str | int, tuple[tuple[int, ...], str]]:
+        """The pre-tokens that are remembered, with their ids as numbers and as text."""
+        ids = {t: np.frombuffer(x, "<u4").tolist() for t, x in self.store.items()}
+        return {t: (tuple(x), ",".join(map(str, x))) for t, x in ids.items()}
+
+    def forget(self) -> None:
+        self.store, self.held = {}, 0
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -276,35 +297,41 @@ def codec(path: str) -> ByteBPE:
 
 def encoded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the token ids of its texts in column `ids` (array of int), which replaces one of that name."""
-    kept = [c for c in docs.columns if c != ids]
-    schema = T.StructType([*docs.select(*kept).schema, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    rest = docs.drop(ids)
+    schema = T.StructType([*rest.schema, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    kept = [k for k, c in enumerate(docs.columns) if c in rest.columns]
+    at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text))
-            for at in range(0, len(texts), 1024):
-                got = [x for x, _ in bpe.encode_batch(texts[at : at + 1024].to_pylist())]
-                part = batch.slice(at, 1024)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.list_(pa.int32()))], names=[*part.schema.names, ids])
-        bpe.known.clear()
+            for i, j in slices(batch.column(at), PIECE_BYTES):
+                part = batch.slice(i, j - i)
+                got = list(bpe.packed(part.column(at).to_pylist()))
+                ends = np.cumsum([0] + [len(x) // 4 for x in got]).astype(np.int32)
+                made = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(got), "<i4")))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), made], names=schema.names)
+        bpe.forget()
+        slim()
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def decoded(frame: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """frame with the texts of its id arrays in column `text`, which replaces one of that name; null stays null."""
-    kept = [c for c in frame.columns if c != text]
-    schema = T.StructType([*frame.select(*kept).schema, T.StructField(text, T.StringType())])
+    rest = frame.drop(text)
+    schema = T.StructType([*rest.schema, T.StructField(text, T.StringType())])
+    kept = [k for k, c in enumerate(frame.columns) if c in rest.columns]
+    at = frame.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            got = [None if not x.is_valid else bpe.decode(x.as_py()) for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, text])
+            got = [bpe.decode(x.as_py()) if x.is_valid else None for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(got, pa.string())], names=schema.names)
+        slim()
 
-    return frame.select(*kept).mapInArrow(run, schema)
+    return mapped(frame, run, schema)
 
 
 DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
@@ -317,12 +344,13 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         bpe = codec(path)
         for batch in batches:
             texts, rows = batch.column(1), []
-            for at in range(0, len(texts), 2048):
-                for ids, shown in bpe.encode_batch(texts[at : at + 2048].to_pylist()):
+            for i, j in slices(texts, PIECE_BYTES):
+                for ids, shown in bpe.encode_batch(texts[i:j].to_pylist()):
                     rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=DIGEST.names)
-        bpe.known.clear()
+        bpe.forget()
+        slim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
 

@@ -58,3 +58,36 @@ def test_frame_round_trip_and_clashing_names(spark):
     assert sorted((r.doc_id or 0, r.decoded) for r in got) == sorted((a or 0, b or "") for a, b, _ in rows)
     assert bpe.digests(docs.limit(0), path).count() == 0
     assert {r.n_tokens for r in bpe.digests(docs.where("doc_id = 2"), path).collect()} == {0}
+
+
+def test_many_distinct_words_take_bounded_memory(library):
+    """200,000 distinct pre-tokens: what is remembered stays within its bound, and ids are as the library's."""
+    import tracemalloc
+
+    rng = random.Random(7)
+    ours = bpe.ByteBPE(bpe.tokenizer_path("byte_bpe_50k.json"))
+    texts = [" ".join("%s%d" % (rng.choice(["éa", "b-", "word", "Q"]), rng.randrange(10**9)) for _ in range(1000)) for _ in range(200)]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    tracemalloc.start()
+    try:
+        for text, ids in zip(texts, want, strict=True):
+            assert next(ours.encode_batch([text]))[0] == ids
+            assert ours.held <= bpe.KNOWN_BYTES + 1024 * 1024 and len(ours.store) < 200_000
+        assert tracemalloc.get_traced_memory()[0] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_query_equals_the_library(spark, library):
+    import hashlib
+    import os
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect():
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))))
+    assert sorted(map(tuple, bpe.op8_bpe(spark, folder).collect())) == sorted(want)
