@@ -15,7 +15,7 @@ a bucket; buckets with the same members are one. Within a bucket, sets are compa
 whether an even or odd number of elements falls on them differ at most where the sets do, so sets whose sketches differ
 in more than H bits can't be linked. What passes is verified exactly on the texts, by rounds: each set against its most
 alike one in a bucket, then a few others, then all that is left, always without those that are connected already or have
-failed. So thousands of near copies, or of documents that share a long passage, don't become all their pairs. No cap
+failed; a bucket whose pairs have all been taken is done with. So thousands of near copies, or of documents that share a long passage, don't become all their pairs. No cap
 anywhere: the last round takes whatever is left, which for M unlinked sets of one bucket is at most the M**2 / 2 pairs
 whose sketches allow a link. Buckets of more than BUCKET_ROWS sets are compared in pairs of parts.
 
@@ -176,7 +176,7 @@ SETS = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.Lon
 BLOCKS = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("names", T.BinaryType()), T.StructField("counts", T.BinaryType()), T.StructField("keys", T.BinaryType())])
 MEMBERS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("name", T.BinaryType())])
 TEXTS = T.StructType([T.StructField("name", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("text", T.StringType())])
-PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("open", T.LongType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("linked", T.BooleanType())])
 
 
@@ -352,19 +352,22 @@ def _texts(likeness: Likeness):
 
 
 def _alike(likeness: Likeness, number: int):
-    """Pairs of a round from buckets (bucket, p, q, part, node, c, n, sketch), sorted by bucket, p and q: sets of part p
-    with sets of part q that may be linked and aren't connected."""
+    """Pairs of a round from buckets (bucket, p, q, part, node, c, n, sketch, buckets), sorted by bucket, p and q: sets of
+    part p with sets of part q that may be linked and aren't connected. Where the buckets of each set are given, a pair is
+    taken in the least that the two share. Buckets with more pairs than this round takes are `open`."""
     most = PARTNERS[number] if number < len(PARTNERS) else None
     less, more = 100 - likeness.percent, 100 + likeness.percent
 
-    def of(rows: list[tuple], p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        part, node, c, n, bits = zip(*rows, strict=True)
+    def of(rows: list[tuple], bucket: int, p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """Pairs of a set each, and whether it has others."""
+        part, node, c, n, bits, lists = zip(*rows, strict=True)
         part, node, c, n = (np.array(v, np.int64) for v in (part, node, c, n))
         if (c == c[0]).all():
             return
         words = [np.frombuffer(x, np.uint64) for x in bits]
         size = min(map(len, words))
         table = np.stack([folded(w, size) for w in words])
+        below = [np.array([x for x in y if x < bucket], np.int64) for y in lists] if lists[0] is not None else None
         for i in range(len(rows)):
             fits = c != c[i]
             if p != q:
@@ -376,30 +379,47 @@ def _alike(likeness: Likeness, number: int):
             apart = np.bitwise_count(table[at] ^ table[i]).sum(1, dtype=np.int64)
             near = apart * more <= less * (n[at] + n[i])
             at, apart = at[near], apart[near]
+            if below is not None and len(at) and len(below[i]):
+                elsewhere = np.isin(np.concatenate([below[j] for j in at.tolist()]), below[i])
+                first = np.concatenate(([0], np.cumsum([len(below[j]) for j in at.tolist()])))
+                own = np.diff(np.concatenate(([0], np.cumsum(elsewhere)))[first]) == 0
+                at, apart = at[own], apart[own]
+            others = most is not None and len(at) > most
             if most is None:
                 at = at[at > i]
-            elif len(at) > most:
+            elif others:
                 if number:  # others in another bucket
                     apart = mix(node[at].astype(np.uint64) + np.uint64(rows_salt(rows)))
                 at = at[np.argpartition(apart, most - 1)[:most]]
             if len(at):
-                yield np.maximum(node[at], node[i]), np.minimum(node[at], node[i])
+                yield np.maximum(node[at], node[i]), np.minimum(node[at], node[i]), others
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, held = None, [], []
+        key, rows, held, open_ = None, [], [], []
+        seen: set[int] = set()  # pairs of this task, to give out most of them once
 
         def out(least: int) -> Iterator[pa.RecordBatch]:
-            if held and sum(len(a) for a, _ in held) >= least:
-                a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+            if len(held) + len(open_) >= least:
+                a, b = zip(*held, strict=True) if held else ((), ())
+                none = [None]
+                columns = (list(a) + none * len(open_), list(b) + none * len(open_), none * len(held) + open_)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PAIRS.names)
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=PAIRS.names)
+                open_.clear()
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                for k, found in enumerate(of(rows, key[1], key[2])):
-                    held.append(found)
-                    if k % 64 == 63:
-                        yield from out(PAIR_ROWS)
+            others = False
+            for a, b, more_of_it in of(rows, *key) if len(rows) > 1 else ():
+                others |= more_of_it
+                for pair in zip(a.tolist(), b.tolist(), strict=True):
+                    if (name := pair[0] << 64 | pair[1]) not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(name)
+                        held.append(pair)
+                yield from out(PAIR_ROWS)
+            if others:
+                open_.append(key[0])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
@@ -471,32 +491,43 @@ def _rounds(docs: DataFrame, classes: DataFrame, nodes: DataFrame, members: Data
     were written for them."""
     spark = docs.sparkSession
     reps, reps_place = _ids(classes.join(nodes, "name").select(F.col("rep").alias("id")))
-    made = docs.join(reps, "id", "left_semi").select("text").mapInArrow(_texts(likeness), TEXTS).join(nodes, "name").drop("name")
-    texts, texts_place = saved(made.dropDuplicates(["node"]), "texts")
+    known = F.broadcast(nodes) if nodes.count() <= MOST_BROADCAST else nodes
+    made = docs.join(reps, "id", "left_semi").select("text").mapInArrow(_texts(likeness), TEXTS).join(known, "name").drop("name")
+    texts, texts_place = saved(made, "texts")
+    places = [reps_place, texts_place]
+    if texts.count() > nodes.count():  # an id that repeats has brought another row's text
+        texts, once_place = saved(texts.dropDuplicates(["node"]), "texts")
+        places.append(once_place)
     parts = members.groupBy("bucket").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
     members = members.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     comp, comp_place, number = None, None, 0
     done: list[DataFrame] = []
-    places = [reps_place, texts_place]
     while number <= len(PARTNERS):
-        now = members.withColumn("c", F.col("node")) if comp is None else members.join(comp, "node", "left").withColumn("c", F.coalesce("c", "node"))
+        about = texts.select("node", "n", "sketch", F.col("node").alias("c"), F.lit(None).cast("array<long>").alias("buckets"))
+        if number:
+            about = about.drop("buckets").join(members.groupBy("node").agg(F.collect_set("bucket").alias("buckets")), "node")
         if comp is not None:
-            open_ = now.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-            now = now.join(open_, "bucket", "left_semi")
+            about = about.withColumnRenamed("c", "own").join(comp, "node", "left").withColumn("c", F.coalesce("c", "own")).drop("own")
         whole = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("h")
-        now = now.select("bucket", "node", "c", "part", whole).withColumns({"p": F.least("part", "h"), "q": F.greatest("part", "h")})
-        rows = now.join(texts.select("node", "n", "sketch"), "node").select("bucket", "p", "q", "part", "node", "c", "n", "sketch")
+        now = members.select("bucket", "node", "part", whole).withColumns({"p": F.least("part", "h"), "q": F.greatest("part", "h")})
+        rows = now.join(about, "node").select("bucket", "p", "q", "part", "node", "c", "n", "sketch", "buckets")
         rows = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
-        pairs = rows.mapInArrow(_alike(likeness, number), PAIRS).distinct()
+        found, found_place = saved(rows.mapInArrow(_alike(likeness, number), PAIRS).distinct(), "alike")
+        pairs = found.where("a IS NOT NULL").select("a", "b")
         if done:  # not those that have failed
             pairs = pairs.join(reduce(DataFrame.unionByName, done), ["a", "b"], "left_anti")
         pairs, pairs_place = saved(pairs, "pairs")
+        open_, open_place = saved(found.where("a IS NULL").select(F.col("open").alias("bucket")), "open")
+        remove(spark, found_place)
+        places.append(open_place)
         number += 1
         if not pairs.isEmpty():
-            left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-            right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+            needed, needed_place = _ids(pairs.select("a").union(pairs.select("b")).withColumnRenamed("a", "node"))
+            own = texts.select("node", "text").join(needed, "node", "left_semi")
+            left, right = own.toDF("a", "text_a"), own.toDF("b", "text_b")
             verified, links_place = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(likeness), LINKS), "links")
             places.append(links_place)
+            remove(spark, needed_place)
             done.append(verified.where("NOT linked").select("a", "b"))
             links = verified.where("linked")
             if not links.isEmpty():
@@ -505,6 +536,10 @@ def _rounds(docs: DataFrame, classes: DataFrame, nodes: DataFrame, members: Data
                 if before:
                     remove(spark, before)
         remove(spark, pairs_place)
+        if open_.isEmpty():
+            break
+        members, members_place = saved(members.join(open_, "bucket", "left_semi"), "members")
+        places.append(members_place)
     return comp, places + ([comp_place] if comp_place else [])
 
 
