@@ -538,7 +538,11 @@ def _rounds(docs: DataFrame, classes: DataFrame, nodes: DataFrame, members: Data
         remove(spark, pairs_place)
         if open_.isEmpty():
             break
-        members, members_place = saved(members.join(open_, "bucket", "left_semi"), "members")
+        members = members.join(open_, "bucket", "left_semi")
+        if comp is not None:  # nor those whose sets are all connected
+            found = members.join(comp, "node", "left").groupBy("bucket").agg(F.min(F.coalesce("c", "node")).alias("low"), F.max(F.coalesce("c", "node")).alias("high"))
+            members = members.join(found.where("low <> high").select("bucket"), "bucket", "left_semi")
+        members, members_place = saved(members, "members")
         places.append(members_place)
     return comp, places + ([comp_place] if comp_place else [])
 
