@@ -49,7 +49,7 @@ from galaxis.llm.bpe import WHITE, _class, tokenizer_path
 MAGIC = b"GXIDS001"
 NO_ID = -(2**63)
 #: Bytes of chunks and their ids that are remembered within a partition, and what one takes besides.
-KNOWN_BYTES, ENTRY = 48 << 20, 150
+KNOWN_BYTES, ENTRY = 96 << 20, 150
 #: The sample that the dictionary is trained on, and the characters used of a document of it.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 16_000, 1 << 16
 DOCS_PER_SHARD, MOST_SHARDS, LEVEL, PIECE_BYTES = 8192, 50_000, 1, 1 << 20
@@ -135,8 +135,12 @@ class WordEncoder:
             gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.held > KNOWN_BYTES:
-            self.forget()
+        if self.held > KNOWN_BYTES:  # what comes again now is likely to do so later
+            again = {c for t in texts for c in (t or "").lower().split() if c in self.known}
+            self.known = {c: self.known[c] for c in again}
+            self.held = sum(ENTRY + len(c) + len(x) for c, x in self.known.items())
+            if self.held > KNOWN_BYTES // 2:
+                self.forget()
         get, out, lacking = self.known.get, [], []
         for t in texts:
             t = t or ""
