@@ -510,7 +510,7 @@ def _rounds(docs: DataFrame, classes: DataFrame, nodes: DataFrame, members: Data
             about = about.withColumnRenamed("c", "own").join(comp, "node", "left").withColumn("c", F.coalesce("c", "own")).drop("own")
         whole = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("h")
         now = members.select("bucket", "node", "part", whole).withColumns({"p": F.least("part", "h"), "q": F.greatest("part", "h")})
-        rows = now.join(about, "node").select("bucket", "p", "q", "part", "node", "c", "n", "sketch", "buckets")
+        rows = now.join(about, "node").select("bucket", "p", "q", "part", "node", "c", "n", "sketch", F.filter("buckets", lambda x: x < F.col("bucket")).alias("buckets"))
         rows = rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "node")
         found, found_place = saved(rows.mapInArrow(_alike(likeness, number), PAIRS).distinct(), "alike")
         pairs = found.where("a IS NOT NULL").select("a", "b")
