@@ -31,12 +31,13 @@ import math
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,11 @@ from galaxis.llm.bpe import WHITE, _class, tokenizer_path
 
 MAGIC = b"GXIDS001"
 NO_ID = -(2**63)
-#: Bytes of chunks and their ids that are remembered within a partition, and what one takes besides.
-KNOWN_BYTES, ENTRY = 96 << 20, 150
+#: Bytes of chunks and words with their ids that a worker remembers, and what one takes besides.
+KNOWN_BYTES, ENTRY = 160 << 20, 150
 #: The sample that the dictionary is trained on, and the characters used of a document of it.
 SAMPLE, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 16_000, 1 << 16
-DOCS_PER_SHARD, MOST_SHARDS, LEVEL, PIECE_BYTES = 8192, 50_000, 1, 1 << 20
+DOCS_PER_SHARD, MOST_SHARDS, LEVEL, PIECE_BYTES = 8192, 50_000, 1, 4 << 20
 _encoders: dict[str, WordEncoder] = {}
 
 #: The parts of the vocabulary file that WordEncoder's own splitting stands for.
@@ -62,7 +63,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 #: What str.split() takes for white space and Unicode doesn't.
-ODD_SPACE = re.compile("[\x1c-\x1f]").search
+ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Characters beyond Latin-1 for which lower case, composition and class are each character's own and alike in all versions
 #: of Unicode: letters below the combining marks but the dotted capital I, general punctuation, currencies, trade mark.
 BEYOND = re.compile("[^\x00-\u012f\u0131-\u02ff\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2122]").search
@@ -78,9 +79,12 @@ def plain(text: str) -> bool:
 
 
 class WordEncoder:
-    """Ids by the tokenizers library, which sees each distinct chunk between white space once: plain() texts are put in
-    lower case and split here, and chunks are looked up. All other texts, those with strings of special tokens, and
-    vocabularies of another make go to the library whole."""
+    """Ids by the tokenizers library, which sees each distinct word once: plain() texts are put in lower case and split at
+    white space here, and chunks are looked up; what is new is split into words, and new words go to the library. All other
+    texts, those with strings of special tokens, and vocabularies of another make go to the library whole.
+
+    What is remembered is in two generations of KNOWN_BYTES / 2: when the young one is full it becomes the old one, and
+    what is found there moves to the young one. It lasts as long as the worker."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -106,26 +110,49 @@ class WordEncoder:
         added = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Ids of chunks without white space, 2000 of them as one text: the ids that end a word, and the number of words
-        of each chunk, tell them apart again."""
-        for at in range(0, len(chunks), 2000):
-            part = chunks[at : at + 2000]
-            split = [(c,) if c.isalpha() else self.split(c) for c in part]
-            ids = np.array(self.words.encode_batch_fast([" ".join(chain.from_iterable(split))], add_special_tokens=False)[0].ids, np.int64)
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Ids of words, 2000 of them as one text: the ids that end a word tell them apart again."""
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.last[ids]) + 1
-            words = np.cumsum([len(s) for s in split])
-            if len(ends) != words[-1]:
+            if len(ends) != len(part):
                 yield from zip(part, self._ids(part), strict=True)
                 continue
-            data, ends = ids.astype(f"<u{self.width}").tobytes(), (ends[words - 1] * self.width).tolist()
+            data, ends = ids.astype(f"<u{self.width}").tobytes(), (ends * self.width).tolist()
             yield from zip(part, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
 
+    def _keep(self, name: str, ids: bytes) -> None:
+        self.known[name] = ids
+        self.held += ENTRY + len(name) + len(ids)
+
+    def _learn(self, chunks: Iterable[str]) -> None:
+        """Remember the ids of chunks without white space."""
+        known, old, fresh = self.known, self.old.get, {}
+        for c in chunks:
+            if (ids := old(c)) is not None:
+                self._keep(c, ids)
+            else:
+                fresh[c] = (c,) if c.isalpha() else self.split(c)
+        words: dict[str, None] = {}
+        for w in chain.from_iterable(fresh.values()):
+            if w not in known and w not in words:
+                if (ids := old(w)) is not None:
+                    self._keep(w, ids)
+                else:
+                    words[w] = None
+        for w, ids in self._words(list(words)):
+            self._keep(w, ids)
+        for c, parts in fresh.items():
+            if c not in known:
+                self._keep(c, b"".join(map(known.__getitem__, parts)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian."""
         gc.disable()  # many small objects are made, and no cycles
@@ -135,40 +162,34 @@ class WordEncoder:
             gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if self.held > KNOWN_BYTES:  # what comes again now is likely to do so later
-            again = {c for t in texts for c in (t or "").lower().split() if c in self.known}
-            self.known = {c: self.known[c] for c in again}
-            self.held = sum(ENTRY + len(c) + len(x) for c, x in self.known.items())
-            if self.held > KNOWN_BYTES // 2:
-                self.forget()
-        get, out, lacking = self.known.get, [], []
-        for t in texts:
+        if self.held > KNOWN_BYTES // 2:
+            self.old, self.known, self.held = self.known, {}, 0
+        out, places, lower = [b""] * len(texts), [], []
+        for k, t in enumerate(texts):
             t = t or ""
-            if not self.by_word or not plain(t) or self.special(t) or ODD_SPACE(t):
-                out.append([self._ids([t])[0]])
-                continue
-            chunks = t.lower().split()
-            found = list(map(get, chunks))
-            if None in found:
-                lacking.append((chunks, found))
-            out.append(found)
-        fresh: dict[str, None] = {}
-        places = []
-        for chunks, found in lacking:
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                fresh[chunks[at]] = None
-                places.append((found, at, chunks[at]))
-        for chunk, ids in self._chunks(list(fresh)):
-            self.known[chunk] = ids
-            self.held += ENTRY + len(chunk) + len(ids)
-        for found, at, chunk in places:
-            found[at] = get(chunk)
-        return list(map(b"".join, out))
+            if not self.by_word or not plain(t) or self.special(t) or any(c in t for c in ODD_SPACE):
+                out[k] = self._ids([t])[0]
+            else:
+                places.append(k)
+                lower.append(t.lower().replace("\x85", " ").replace("\xa0", " "))
+        for k, ids in zip(places, self._looked_up(lower), strict=True):
+            out[k] = ids
+        return out
+
+    def _looked_up(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts in lower case by their chunks, each distinct one looked up once."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        self._learn([c for c in chunks if c not in self.known])
+        table = pa.array(list(map(self.known.__getitem__, chunks)), pa.large_binary()).take(coded.indices)
+        _, ends, data = table.buffers()
+        data = data.to_pybytes() if data else b""
+        cuts = np.frombuffer(ends, np.int64)[table.offset :][lists.offsets.to_numpy()].tolist() if len(table) else [0] * (len(texts) + 1)
+        return (data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True))
 
     def forget(self) -> None:
-        self.known, self.held = {}, 0
+        self.known, self.old, self.held = {}, {}, 0
 
 
 def encoder(path: str) -> WordEncoder:
@@ -250,7 +271,6 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2, doc_id
                 hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in frames], np.uint64)
                 made = (_shards(cuts, ids, hashes), ids, hashes.view(np.int64), np.array([len(x) // own.width for x in data], np.int32))
                 yield pa.RecordBatch.from_arrays([*map(pa.array, made), pa.array(frames, pa.binary())], names=FRAMES.names)
-        own.forget()
         slim()
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
