@@ -51,3 +51,7 @@ def as_duckdb(spark, path, name):
 
 def test_pairwise_euclidean(spark, tables, small):
     as_duckdb(spark, tables, "pairwise_euclidean")
+
+
+def test_pairwise_cosine(spark, tables, small):
+    as_duckdb(spark, tables, "pairwise_cosine")
