@@ -55,3 +55,7 @@ def test_pairwise_euclidean(spark, tables, small):
 
 def test_pairwise_cosine(spark, tables, small):
     as_duckdb(spark, tables, "pairwise_cosine")
+
+
+def test_pairwise_manhattan(spark, tables, small):
+    as_duckdb(spark, tables, "pairwise_manhattan")
