@@ -59,3 +59,7 @@ def test_pairwise_cosine(spark, tables, small):
 
 def test_pairwise_manhattan(spark, tables, small):
     as_duckdb(spark, tables, "pairwise_manhattan")
+
+
+def test_rbf_affinity_degree(spark, tables, small):
+    as_duckdb(spark, tables, "rbf_affinity_degree")
