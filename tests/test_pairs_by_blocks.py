@@ -63,3 +63,7 @@ def test_pairwise_manhattan(spark, tables, small):
 
 def test_rbf_affinity_degree(spark, tables, small):
     as_duckdb(spark, tables, "rbf_affinity_degree")
+
+
+def test_cosine_affinity_degree(spark, tables, small):
+    as_duckdb(spark, tables, "cosine_affinity_degree")
