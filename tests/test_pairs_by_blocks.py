@@ -67,3 +67,7 @@ def test_rbf_affinity_degree(spark, tables, small):
 
 def test_cosine_affinity_degree(spark, tables, small):
     as_duckdb(spark, tables, "cosine_affinity_degree")
+
+
+def test_normalized_laplacian(spark, tables, small):
+    as_duckdb(spark, tables, "normalized_laplacian")
