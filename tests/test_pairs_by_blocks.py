@@ -71,3 +71,7 @@ def test_cosine_affinity_degree(spark, tables, small):
 
 def test_normalized_laplacian(spark, tables, small):
     as_duckdb(spark, tables, "normalized_laplacian")
+
+
+def test_mutual_reachability(spark, tables, small):
+    as_duckdb(spark, tables, "mutual_reachability")
