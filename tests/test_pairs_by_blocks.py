@@ -75,3 +75,7 @@ def test_normalized_laplacian(spark, tables, small):
 
 def test_mutual_reachability(spark, tables, small):
     as_duckdb(spark, tables, "mutual_reachability")
+
+
+def test_connected_components(spark, tables, small):
+    as_duckdb(spark, tables, "connected_components")
