@@ -79,3 +79,7 @@ def test_mutual_reachability(spark, tables, small):
 
 def test_connected_components(spark, tables, small):
     as_duckdb(spark, tables, "connected_components")
+
+
+def test_component_indicators(spark, tables, small):
+    as_duckdb(spark, tables, "component_indicators")
