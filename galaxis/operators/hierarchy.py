@@ -107,8 +107,7 @@ class AgglomerativeModel:
 
 def single_linkage_components(points: DataFrame, threshold: float, metric: str = "euclidean") -> DataFrame:
     """(id, label) of single linkage cut at a threshold, for any number of points: the components of nearer pairs."""
-    near = graph.pairs(points, metric).where(F.col("d") < threshold)
-    return graph.components(points.select("id"), near).withColumnRenamed("component", "label")
+    return graph.components(points.select("id"), graph.pair_forest(points, metric, threshold)).withColumnRenamed("component", "label")
 
 
 @dataclass(frozen=True)

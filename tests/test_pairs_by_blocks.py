@@ -83,3 +83,7 @@ def test_connected_components(spark, tables, small):
 
 def test_component_indicators(spark, tables, small):
     as_duckdb(spark, tables, "component_indicators")
+
+
+def test_single_linkage_threshold(spark, tables, small):
+    as_duckdb(spark, tables, "single_linkage_threshold")
