@@ -19,6 +19,8 @@ from galaxis.sources import frames
 
 #: Points whose matrix (n * n doubles) is held at once: 800 MB.
 MOST_POINTS = 10_000
+#: Points of a frame that are gathered to one matrix: 72 MB.
+LOCAL_POINTS = 3000
 LINKAGES = ("ward", "complete", "average", "single")
 METRICS = ("euclidean", "manhattan", "cosine", "precomputed")
 
@@ -150,7 +152,7 @@ class HDBSCAN:
         reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
         return self._from_tree(ids, kernels.single_linkage(kernels.spanning_tree(reach), n))
 
-    def fit(self, points: DataFrame, most: int = MOST_POINTS) -> HDBSCANModel:
+    def fit(self, points: DataFrame, most: int = LOCAL_POINTS) -> HDBSCANModel:
         if self.metric == "precomputed":
             ids, x = frames.square(points)
             return self.fit_array(x, ids)
@@ -161,10 +163,10 @@ class HDBSCAN:
         return self._fit_spread(points, n)
 
     def _fit_spread(self, points: DataFrame, n: int) -> HDBSCANModel:
-        """Distances and the spanning tree as joins; only its n - 1 edges come to the driver."""
+        """The spanning tree by pairs of blocks; only edges come to the driver."""
         cores = graph.core_distances(points, min(self.min_samples or self.min_cluster_size, n), self.metric)
-        reach = graph.mutual_reachability(graph.pairs(points, self.metric), cores)
-        edges = graph.spanning_forest(reach.where("i < j")).orderBy("d", "i", "j").toArrow()
+        edges = graph.pair_forest(graph.with_feature(points, cores, "core"), graph.reach_value(self.metric))
+        edges = graph.spanning_forest(edges).orderBy("d", "i", "j").toArrow()
         ids = np.sort(points.select("id").toArrow().column("id").to_numpy())
         i, j = (np.searchsorted(ids, edges.column(c).to_numpy()).tolist() for c in "ij")
         return self._from_tree(ids, kernels.single_linkage(list(zip(i, j, edges.column("d").to_pylist(), strict=True)), n))

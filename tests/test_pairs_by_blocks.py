@@ -87,3 +87,19 @@ def test_component_indicators(spark, tables, small):
 
 def test_single_linkage_threshold(spark, tables, small):
     as_duckdb(spark, tables, "single_linkage_threshold")
+
+
+def test_hdbscan_by_blocks(spark, tables, small):
+    points = frames.points(spark.read.parquet(f"{tables}/embeddings.parquet"), "vec_id", "embedding")
+    a, b = HDBSCAN(4).fit(points, most=1000), HDBSCAN(4).fit(points, most=10)
+    assert (a.labels_ == b.labels_).all() and len(set(a.labels_)) > 1
+    np.testing.assert_allclose(a.tree[:, 2], b.tree[:, 2], rtol=1e-12)
+
+
+def test_forest_kernels():
+    x = np.random.default_rng(0).normal(size=(40, 3))
+    d = kernels.distances(x[:25], x[25:])
+    i, j = np.indices(d.shape).reshape(2, -1)
+    kept = kernels.forest(40, i, j + 25, d.ravel())
+    assert {(i[k], j[k]) for k in kept} == set(zip(*kernels.cross_tree(d), strict=True)) and len(kept) == 39
+    np.testing.assert_allclose(kernels.refined_squared(x + 1e4, x + 1e4), kernels.exact_squared(x + 1e4, x + 1e4), rtol=1e-9)
