@@ -7,11 +7,14 @@ HDBSCAN's hierarchy is built on the spanning forest that rounds of joins find ov
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galaxis.functions import kernels
 from galaxis.operators import graph, medoids
@@ -63,13 +66,19 @@ class Agglomerative:
         merges = kernels.neighbour_chain(d, self.linkage)
         return AgglomerativeModel(self, np.arange(n) if ids is None else ids, kernels.cut(merges, n, self.n_clusters, self.distance_threshold), merges)
 
-    def fit(self, points: DataFrame) -> AgglomerativeModel:
+    def fit(self, points: DataFrame, most: int = LOCAL_POINTS) -> AgglomerativeModel:
         if self.metric == "precomputed":
             ids, x = frames.square(points)
-        else:
-            _check_size(points.count())
+            return self.fit_array(x, ids)
+        n, _ = frames.shape(points)
+        if n <= most:
             ids, x = frames.matrix(points)
-        return self.fit_array(x, ids)
+            return self.fit_array(x, ids)
+        if self.n_clusters is not None and self.n_clusters > n:
+            raise ValueError("n_clusters cannot exceed the number of samples")
+        ids, found = _single_merges(points, self.metric) if self.linkage == "single" else _merges_in_rounds(points, self.linkage, self.metric, most)
+        merges = kernels.ordered_merges(found, n)
+        return AgglomerativeModel(self, ids, kernels.cut(merges, n, self.n_clusters, self.distance_threshold), merges)
 
     def fit_predict(self, points: DataFrame) -> DataFrame:
         return self.fit(points).labels(points.sparkSession)
@@ -107,6 +116,105 @@ class AgglomerativeModel:
         return medoids.select_medoids(points, self.labels(points.sparkSession), int(self.labels_.max()) + 1, self.params.metric)
 
 
+Found = list[tuple[float, int, int]]
+
+
+def _single_merges(points: DataFrame, metric: str) -> tuple[np.ndarray, Found]:
+    """Single linkage merges along the edges of the minimum spanning tree."""
+    edges = graph.spanning_forest(graph.pair_forest(points, lambda x, y: kernels.distances(x, y, metric, plain_cosine=True))).toArrow()
+    ids = np.sort(points.select("id").toArrow().column("id").to_numpy())
+    i, j = (np.searchsorted(ids, edges.column(c).to_numpy()).tolist() for c in "ij")
+    return ids, sorted(zip(edges.column("d").to_pylist(), i, j, strict=True))
+
+
+NEXT = T.StructType([T.StructField("k", T.LongType()), T.StructField("near", T.LongType()), T.StructField("d", T.DoubleType()), T.StructField("row", T.BinaryType())])
+
+
+def _linked(spark: SparkSession, x: Broadcast, linkage: str, metric: str, order: np.ndarray | None, starts: np.ndarray, asked: np.ndarray, sizes: np.ndarray, rows: bool = False) -> pa.Table:
+    """Of each cluster asked for its nearest one, the lowest of equal ones, or with `rows` all distances; by tasks over
+    clusters of about equally many points together."""
+    done = np.cumsum(sizes[asked])
+    parts = np.unique(np.searchsorted(done, np.linspace(0, done[-1], 4 * spark.sparkContext.defaultParallelism + 1)[1:-1])).tolist()
+    parts = list(zip([0, *parts], [*parts, len(asked)], strict=True))
+    state = spark.sparkContext.broadcast((order, starts, asked, parts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, starts, asked, parts = state.value
+        points = x.value if order is None else x.value[order]
+        for batch in batches:
+            for part in batch.column("id").to_pylist():
+                some = asked[slice(*parts[part])]
+                for low in range(0, len(some), 64):
+                    k = some[low : low + 64]
+                    d = kernels.linkage_rows(points, starts, k, linkage, metric)
+                    d[np.arange(len(k)), k] = np.inf
+                    near = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(near), pa.array(d[np.arange(len(k)), near]), pa.array([r.tobytes() if rows else None for r in d], pa.binary())], names=NEXT.names)
+
+    out = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, NEXT).toArrow()
+    state.destroy()
+    return out
+
+
+def _merges_in_rounds(points: DataFrame, linkage: str, metric: str, most: int) -> tuple[np.ndarray, Found]:
+    """Ward, complete and average linkage without a matrix of all points. Such linkages let any two clusters that are each
+    other's nearest be merged at any time, so that a round finds nearest clusters in parallel and merges all such pairs;
+    a nearest cluster stays so until it is merged. When `most` clusters are left their distances are one matrix, and
+    the chain goes on with it. What all tasks hold is the points."""
+    spark = points.sparkSession
+    ids, x = frames.matrix(points)
+    n, ward = len(x), linkage == "ward"
+    # Equal points are merged at 0 first, as their ties would let few pairs be merged in a round.
+    _, first, home = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    some = first[home.ravel()]
+    found: Found = [(0.0, int(a), k) for k, a in enumerate(some.tolist()) if a != k] if metric != "cosine" else []
+    rep, label = np.unique(some, return_inverse=True) if metric != "cosine" else (np.arange(n), np.arange(n))
+    sizes, near, gap = np.bincount(label), np.full(len(rep), -1), np.zeros(len(rep))
+    sent = None if ward else spark.sparkContext.broadcast(x)
+
+    def linked(asked: np.ndarray, rows: bool = False) -> pa.Table:
+        if not ward:
+            order = np.argsort(label, kind="stable")
+            return _linked(spark, sent, linkage, metric, order, np.concatenate(([0], np.cumsum(sizes)[:-1])), asked, sizes, rows)
+        means = np.stack([np.bincount(label, c, len(rep)) for c in x.T], 1) / sizes[:, None]
+        means = spark.sparkContext.broadcast(means)
+        try:
+            return _linked(spark, means, linkage, metric, None, sizes, asked, np.ones(len(rep), int), rows)
+        finally:
+            means.destroy()
+
+    while len(rep) > max(1, most):
+        got = linked(np.flatnonzero(near < 0))
+        k = got.column("k").to_numpy()
+        near[k], gap[k] = got.column("near").to_numpy(), got.column("d").to_numpy()
+        here = np.arange(len(rep))
+        low = np.flatnonzero((near[near] == here) & (here < near))
+        if not len(low):  # two ways of adding up the same distance can differ in a last digit
+            low = np.array([int(gap.argmin())])
+            near[near[low]] = low
+            low = np.minimum(low, near[low])
+        low = low[: len(rep) - 1]
+        high = near[low]
+        found += zip(gap[low].tolist(), rep[low].tolist(), rep[high].tolist(), strict=True)
+        gone, merged = np.zeros(len(rep), bool), np.zeros(len(rep), bool)
+        gone[high], merged[low], merged[high] = True, True, True
+        to = here.copy()
+        to[high] = low
+        new = np.cumsum(~gone) - 1
+        label = new[to[label]]
+        near = np.where(merged | merged[near], -1, new[near])[~gone]
+        rep, gap, sizes = rep[~gone], gap[~gone], np.bincount(label)
+    if len(rep) > 1:
+        got = linked(np.arange(len(rep)), rows=True)
+        d = np.empty((len(rep), len(rep)))
+        for k, row in zip(got.column("k").to_pylist(), got.column("row"), strict=True):
+            d[k] = np.frombuffer(row.as_buffer(), "<f8")
+        found += [(w, int(rep[a]), int(rep[b])) for w, a, b in kernels.chain_merges(np.maximum(d, d.T), linkage, sizes)]
+    if sent is not None:
+        sent.destroy()
+    return ids, found
+
+
 def single_linkage_components(points: DataFrame, threshold: float, metric: str = "euclidean") -> DataFrame:
     """(id, label) of single linkage cut at a threshold, for any number of points: the components of nearer pairs."""
     return graph.components(points.select("id"), graph.pair_forest(points, metric, threshold)).withColumnRenamed("component", "label")

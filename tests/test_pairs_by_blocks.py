@@ -103,3 +103,13 @@ def test_forest_kernels():
     kept = kernels.forest(40, i, j + 25, d.ravel())
     assert {(i[k], j[k]) for k in kept} == set(zip(*kernels.cross_tree(d), strict=True)) and len(kept) == 39
     np.testing.assert_allclose(kernels.refined_squared(x + 1e4, x + 1e4), kernels.exact_squared(x + 1e4, x + 1e4), rtol=1e-9)
+
+
+def test_agglomerative_single_beyond_one_matrix(spark, tables, small, monkeypatch):
+    points = frames.points(spark.read.parquet(f"{tables}/embeddings.parquet"), "vec_id", "embedding")
+    want = Agglomerative(6, "single").fit(points)
+    monkeypatch.setattr(hierarchy, "MOST_POINTS", 10)  # 90 points were refused beyond it
+    monkeypatch.setattr(Agglomerative.fit, "__defaults__", (10,))
+    got = Agglomerative(6, "single").fit(points)
+    assert (got.labels_ == want.labels_).all() and (got.ids == want.ids).all()
+    np.testing.assert_allclose(got.distances_, want.distances_, rtol=1e-9, atol=1e-12)
