@@ -123,3 +123,13 @@ def test_agglomerative_threshold_beyond_one_matrix(spark, tables, small, monkeyp
     got = Agglomerative(None, "single", distance_threshold=0.5).fit(points)
     assert (got.labels_ == want.labels_).all() and (got.ids == want.ids).all()
     np.testing.assert_allclose(got.distances_, want.distances_, rtol=1e-9, atol=1e-12)
+
+
+def test_agglomerative_ward_beyond_one_matrix(spark, tables, small, monkeypatch):
+    points = frames.points(spark.read.parquet(f"{tables}/embeddings.parquet"), "vec_id", "embedding")
+    want = Agglomerative(6, "ward").fit(points)
+    monkeypatch.setattr(hierarchy, "MOST_POINTS", 10)  # 90 points were refused beyond it
+    monkeypatch.setattr(Agglomerative.fit, "__defaults__", (10,))
+    got = Agglomerative(6, "ward").fit(points)
+    assert (got.labels_ == want.labels_).all() and (got.ids == want.ids).all()
+    np.testing.assert_allclose(got.distances_, want.distances_, rtol=1e-9, atol=1e-12)
