@@ -143,3 +143,13 @@ def test_agglomerative_complete_beyond_one_matrix(spark, tables, small, monkeypa
     got = Agglomerative(6, "complete").fit(points)
     assert (got.labels_ == want.labels_).all() and (got.ids == want.ids).all()
     np.testing.assert_allclose(got.distances_, want.distances_, rtol=1e-9, atol=1e-12)
+
+
+def test_agglomerative_average_beyond_one_matrix(spark, tables, small, monkeypatch):
+    points = frames.points(spark.read.parquet(f"{tables}/embeddings.parquet"), "vec_id", "embedding")
+    want = Agglomerative(6, "average").fit(points)
+    monkeypatch.setattr(hierarchy, "MOST_POINTS", 10)  # 90 points were refused beyond it
+    monkeypatch.setattr(Agglomerative.fit, "__defaults__", (10,))
+    got = Agglomerative(6, "average").fit(points)
+    assert (got.labels_ == want.labels_).all() and (got.ids == want.ids).all()
+    np.testing.assert_allclose(got.distances_, want.distances_, rtol=1e-9, atol=1e-12)
