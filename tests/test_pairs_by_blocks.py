@@ -153,3 +153,14 @@ def test_agglomerative_average_beyond_one_matrix(spark, tables, small, monkeypat
     got = Agglomerative(6, "average").fit(points)
     assert (got.labels_ == want.labels_).all() and (got.ids == want.ids).all()
     np.testing.assert_allclose(got.distances_, want.distances_, rtol=1e-9, atol=1e-12)
+
+
+def test_agglomerative_merge_tree_beyond_one_matrix(spark, tables, small, monkeypatch):
+    points = frames.points(spark.read.parquet(f"{tables}/embeddings.parquet"), "vec_id", "embedding")
+    want = Agglomerative(2, "complete").fit(points).merge_tree(spark).collect()
+    monkeypatch.setattr(hierarchy, "MOST_POINTS", 10)
+    monkeypatch.setattr(Agglomerative.fit, "__defaults__", (10,))
+    got = Agglomerative(2, "complete").fit(points).merge_tree(spark).collect()
+    assert len(got) == 89
+    rest = [r.distance > 0 for r in want]  # equal points have several orders
+    assert [r[1:3] + (round(r[3], 9), r[4]) for r, k in zip(got, rest, strict=True) if k] == [r[1:3] + (round(r[3], 9), r[4]) for r, k in zip(want, rest, strict=True) if k]
