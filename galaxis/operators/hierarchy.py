@@ -8,7 +8,7 @@ HDBSCAN's hierarchy is built on the spanning forest that rounds of joins find ov
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +66,15 @@ class Agglomerative:
         merges = kernels.neighbour_chain(d, self.linkage)
         return AgglomerativeModel(self, np.arange(n) if ids is None else ids, kernels.cut(merges, n, self.n_clusters, self.distance_threshold), merges)
 
-    def fit(self, points: DataFrame, most: int = LOCAL_POINTS) -> AgglomerativeModel:
+    def fit(self, points: DataFrame | graph.Distances, most: int = LOCAL_POINTS) -> AgglomerativeModel:
+        """Of distances that are yet to be computed, those of more than `most` points are read in rounds; a long frame is
+        gathered."""
+        if isinstance(points, graph.Distances):
+            if self.metric != "precomputed":
+                raise ValueError("distances need the precomputed metric")
+            if points.points.count() > most:
+                return replace(replace(self, metric=points.metric).fit(points.points, most), params=self)
+            points = points.long()
         if self.metric == "precomputed":
             ids, x = frames.square(points)
             return self.fit_array(x, ids)
@@ -80,7 +88,7 @@ class Agglomerative:
         merges = kernels.ordered_merges(found, n)
         return AgglomerativeModel(self, ids, kernels.cut(merges, n, self.n_clusters, self.distance_threshold), merges)
 
-    def fit_predict(self, points: DataFrame) -> DataFrame:
+    def fit_predict(self, points: DataFrame | graph.Distances) -> DataFrame:
         return self.fit(points).labels(points.sparkSession)
 
 

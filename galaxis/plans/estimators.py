@@ -109,11 +109,8 @@ def agglomerative_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agglomerative_precomputed")
 def agglomerative_precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average linkage of manhattan distances that come as a long frame."""
-    points = embeddings(spark, sf_dir)
-    near = graph.pairs(points, "manhattan", both=True)
-    near = near.unionByName(points.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("d")))
-    return Agglomerative(4, "average", "precomputed").fit_predict(near)
+    """Average linkage of manhattan distances that come as a long frame, or in rounds where that is too large to gather."""
+    return Agglomerative(4, "average", "precomputed").fit_predict(graph.Distances(embeddings(spark, sf_dir), "manhattan"))
 
 
 @query("agglomerative_merge_tree")
