@@ -1,6 +1,7 @@
 """Spectral clustering: affinity, components, normalised Laplacian, eigenvectors, K-Means.
 
-Dense affinities are bounded by max_samples and solved on the driver. The neighbour affinity is a frame of edges built
+Dense affinities of up to LOCAL_POINTS points are matrices on the driver. Larger rbf and cosine ones are never stored:
+tasks multiply blocks of them with the vectors of a block Lanczos, and find their components by pairs of blocks. The neighbour affinity is a frame of edges built
 by blocks; its components are found by joins, and only its edges (k for each point at most, twice) come to the driver,
 where Lanczos multiplies by them without a matrix.
 """
@@ -8,11 +9,13 @@ where Lanczos multiplies by them without a matrix.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from galaxis.functions import kernels
 from galaxis.operators import graph, medoids
@@ -24,6 +27,9 @@ METRICS = ("calinski-harabasz", "davies-bouldin", "silhouette")
 #: Gammas of a sweep where none are given.
 GAMMAS = (0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0)
 MOST_EDGES = 50_000_000
+#: Points whose affinity is a matrix of the driver, and those of arrays, functions and sweeps, which need one.
+LOCAL_POINTS, MOST_SAMPLES = 3000, 10_000
+PRODUCT = T.StructType([T.StructField("low", T.LongType()), T.StructField("rows", T.BinaryType())])
 
 
 def score(x: np.ndarray, labels: np.ndarray, metric: str) -> float:
@@ -105,6 +111,67 @@ class Affinity:
         return {"shape": (self.n, self.n), "nnz": nnz, "min": float(min([value.min(), *zero])), "max": float(max([value.max(), *zero])), "mean": float(value.sum() / self.n**2)}
 
 
+class SpreadAffinity:
+    """An affinity of all pairs of points, computed by tasks whenever it is used; 1 on the diagonal. value: a function of
+    two matrices of rows."""
+
+    def __init__(self, points: DataFrame, x: np.ndarray, value: Callable):
+        self.points, self.value, self.n, self.spark = points, value, len(x), points.sparkSession
+        self.sent = self.spark.sparkContext.broadcast(x)
+        self.degree = self.product(np.ones((self.n, 1)))[:, 0]
+
+    def product(self, v: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
+        """The affinity without its diagonal times a matrix."""
+        n, value, sent = self.n, self.value, self.sent
+        tasks = min(n, 4 * self.spark.sparkContext.defaultParallelism)
+        vectors = self.spark.sparkContext.broadcast(v)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, v, step = sent.value, vectors.value, max(1, piece // n)
+            for batch in batches:
+                for task in batch.column("id").to_pylist():
+                    low, high = task * n // tasks, (task + 1) * n // tasks
+                    out = np.empty((high - low, v.shape[1]))
+                    for at in range(low, high, step):
+                        end = min(high, at + step)
+                        a = value(x[at:end], x)
+                        a[np.arange(end - at), np.arange(at, end)] = 0
+                        out[at - low : end - low] = a @ v
+                    yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([out.tobytes()], pa.binary())], names=PRODUCT.names)
+
+        got = self.spark.range(0, tasks, 1, tasks).mapInArrow(run, PRODUCT).toArrow().sort_by("low")
+        vectors.destroy()
+        return np.concatenate([np.frombuffer(b.as_buffer()) for b in got.column("rows")]).reshape(v.shape)
+
+    def total(self) -> float:
+        return float(self.degree.sum()) + self.n
+
+    def components(self) -> np.ndarray:
+        value = self.value
+        edges = graph.pair_forest(self.points, lambda x, y: -value(x, y), -graph.CONNECTS)
+        found = graph.components(self.points.select("id"), edges).toArrow().sort_by("id")
+        return found.column("component").to_numpy()
+
+    def laplacian(self) -> tuple[kernels.BlockOperator, np.ndarray]:
+        s = Affinity._scale(self.degree)
+        return kernels.BlockOperator(self.n, lambda v: v - s[:, None] * self.product(s[:, None] * v)), s
+
+    def stats(self) -> dict:
+        value = self.value
+        got = graph.summed_pairs(self.points, value).agg({"low": "min", "high": "max"}).first()
+        nnz = graph.summed_pairs(self.points, lambda x, y: (value(x, y) != 0).astype(float)).agg({"total": "sum"}).first()[0]
+        return {"shape": (self.n, self.n), "nnz": int(nnz) + self.n, "min": min(got["min(low)"], 1.0), "max": max(got["max(high)"], 1.0), "mean": self.total() / self.n**2}
+
+
+def rbf_quick(gamma: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    def value(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = kernels.refined_squared(x, y)
+        d *= -gamma
+        return np.exp(d, out=d)
+
+    return value
+
+
 @dataclass(frozen=True)
 class Spectral:
     """affinity: one of AFFINITIES, or a function from a matrix of points to a matrix of affinities."""
@@ -121,7 +188,7 @@ class Spectral:
     intensive_parameter_sweep: bool = False
     gamma_range: tuple[float, ...] | None = None
     capture_debug_info: bool = False
-    max_samples: int = 10_000
+    max_samples: int | None = None
 
     def __post_init__(self) -> None:
         if int(self.n_clusters) != self.n_clusters or self.n_clusters < 1:
@@ -158,7 +225,7 @@ class Spectral:
         np.fill_diagonal(a, 1)
         return a
 
-    def embed(self, affinity: Affinity, info: dict | None = None) -> np.ndarray:
+    def embed(self, affinity: Affinity | SpreadAffinity, info: dict | None = None) -> np.ndarray:
         """Component indicators where there are components enough, and else the scaled eigenvectors."""
         label = affinity.components()
         count = int(label.max()) + 1
@@ -218,7 +285,7 @@ class Spectral:
             raise ValueError("no gamma of the sweep gave a clustering")
         return best[1], best[2] | {"score": best[0]}
 
-    def _fit(self, affinity: Affinity, ids: np.ndarray, x: np.ndarray | None) -> SpectralModel:
+    def _fit(self, affinity: Affinity | SpreadAffinity, ids: np.ndarray, x: np.ndarray | None) -> SpectralModel:
         if self.n_clusters > affinity.n:
             raise ValueError("n_clusters cannot exceed the number of samples")
         if affinity.total() == 0:
@@ -240,11 +307,14 @@ class Spectral:
 
     def fit_array(self, x: np.ndarray, ids: np.ndarray | None = None) -> SpectralModel:
         x = np.asarray(x, float)
-        if len(x) > self.max_samples and self.affinity != "nearest_neighbors":
-            raise ValueError(f"{len(x)} samples exceed max_samples = {self.max_samples}; the affinity is a dense matrix")
+        self._check_size(len(x), self.max_samples or MOST_SAMPLES)
         return self._fit(Affinity(self.dense_affinity(x)), np.arange(len(x)) if ids is None else ids, x)
 
-    def fit(self, points: DataFrame) -> SpectralModel:
+    def _check_size(self, n: int, most: int | None) -> None:
+        if most is not None and n > most and self.affinity != "nearest_neighbors":
+            raise ValueError(f"{n} samples exceed max_samples = {most}; the affinity is a dense matrix")
+
+    def fit(self, points: DataFrame, most: int | None = None) -> SpectralModel:
         if self.affinity == "nearest_neighbors":
             n, _ = frames.shape(points)
             if self.n_clusters > n:
@@ -260,9 +330,17 @@ class Spectral:
             ids, x = frames.square(points, 1e-6, zero_diagonal=False)
         else:
             n, _ = frames.shape(points)
-            if n > self.max_samples:
-                raise ValueError(f"{n} samples exceed max_samples = {self.max_samples}; the affinity is a dense matrix")
+            self._check_size(n, self.max_samples)
             ids, x = frames.matrix(points)
+            if n > (LOCAL_POINTS if most is None else most) and self.affinity in ("rbf", "cosine") and not (self.intensive_parameter_sweep and self.affinity == "rbf"):
+                if self.n_clusters > n:
+                    raise ValueError("n_clusters cannot exceed the number of samples")
+                value = graph.cosine_value if self.affinity == "cosine" else rbf_quick(self.gamma if self.gamma is not None else 1 / x.shape[1])
+                affinity = SpreadAffinity(points, x, value)
+                try:
+                    return self._fit(affinity, ids, None)
+                finally:
+                    affinity.sent.destroy()
         return self.fit_array(x, ids)
 
     def fit_predict(self, points: DataFrame) -> DataFrame:

@@ -170,3 +170,21 @@ def test_agglomerative_precomputed_beyond_one_matrix(spark, tables, monkeypatch)
     monkeypatch.setattr(frames.square, "__defaults__", (1e-8, True, 100))
     monkeypatch.setattr(Agglomerative.fit, "__defaults__", (10,))
     assert registry.QUERIES["agglomerative_precomputed"](spark, tables).collect() == want
+
+
+def spread_as_matrix(spark, tables, **params):
+    from galaxis.operators.spectral import Spectral
+
+    x = np.random.default_rng(5).normal(0, 0.15, (120, 5)) + np.repeat(np.eye(4, 5) + 0.2, 30, 0)
+    points = frames.from_rows(spark, x)
+    want = Spectral(4, n_init=3, random_state=1, capture_debug_info=True, **params).fit(points)
+    got = Spectral(4, n_init=3, random_state=1, capture_debug_info=True, **params).fit(points, most=10)
+    assert (got.labels_ == want.labels_).all()
+    np.testing.assert_allclose(got.embedding_, want.embedding_, atol=1e-6)
+    a, b = (m.debug_info["affinity_stats"] for m in (got, want))
+    assert a["nnz"] == b["nnz"] and abs(a["mean"] - b["mean"]) < 1e-9 and abs(a["min"] - b["min"]) < 1e-6
+    assert Spectral(2, **params).max_samples is None  # 10,000 before, which refused more
+
+
+def test_spectral_rbf_beyond_one_matrix(spark, tables, small):
+    spread_as_matrix(spark, tables, affinity="rbf", gamma=1.0)
