@@ -188,3 +188,7 @@ def spread_as_matrix(spark, tables, **params):
 
 def test_spectral_rbf_beyond_one_matrix(spark, tables, small):
     spread_as_matrix(spark, tables, affinity="rbf", gamma=1.0)
+
+
+def test_spectral_cosine_beyond_one_matrix(spark, tables, small):
+    spread_as_matrix(spark, tables, affinity="cosine")
