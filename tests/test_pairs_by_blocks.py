@@ -192,3 +192,16 @@ def test_spectral_rbf_beyond_one_matrix(spark, tables, small):
 
 def test_spectral_cosine_beyond_one_matrix(spark, tables, small):
     spread_as_matrix(spark, tables, affinity="cosine")
+
+
+@pytest.mark.parametrize("rows", [16, 23, 200])
+def test_knn_affinity_stats_pairs_of_blocks_meet_once(spark, tables, rows):
+    points = frames.points(spark.read.parquet(f"{tables}/embeddings.parquet"), "vec_id", "embedding")
+    met = [(r.b, r.b2) for r in graph.tiles(points, block_rows=rows).select("b", "b2").collect()]
+    half = [tuple(sorted(r)) for r in graph.tiles(points, True, rows).select("b", "b2").collect()]
+    assert len(met) == len(set(met)) and len(half) == len(set(half)) and set(half) == {tuple(sorted(m)) for m in met}
+
+
+@pytest.mark.parametrize("name", ["knn_affinity_stats", "knn_graph"])
+def test_knn_by_blocks(spark, tables, small, name):
+    as_duckdb(spark, tables, name)
