@@ -205,3 +205,17 @@ def test_knn_affinity_stats_pairs_of_blocks_meet_once(spark, tables, rows):
 @pytest.mark.parametrize("name", ["knn_affinity_stats", "knn_graph"])
 def test_knn_by_blocks(spark, tables, small, name):
     as_duckdb(spark, tables, name)
+
+
+def test_spectral_validation_multiplies_each_vector_once():
+    n, calls = 3000, []
+    i = np.arange(n)
+    near = [(i + s) % n for s in (1, -1, 37, -37, 411, -411)]
+
+    def matvec(v):
+        calls.append(1)
+        return v - sum(v[j] for j in near) / 6
+
+    values, vectors = kernels.smallest_eigenpairs((n, matvec), 3)
+    assert len(calls) < 176  # 636 when images were computed twice and pairs sought anew
+    assert np.linalg.norm(np.stack([matvec(v) for v in vectors.T], 1) - vectors * values, axis=0).max() < 1e-5
