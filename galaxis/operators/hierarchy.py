@@ -88,7 +88,10 @@ class Agglomerative:
         merges = kernels.ordered_merges(found, n)
         return AgglomerativeModel(self, ids, kernels.cut(merges, n, self.n_clusters, self.distance_threshold), merges)
 
-    def fit_predict(self, points: DataFrame | graph.Distances) -> DataFrame:
+    def fit_predict(self, points: DataFrame | graph.Distances, most: int = LOCAL_POINTS) -> DataFrame:
+        """Labels of single linkage below a threshold need no tree beyond `most` points: they are components."""
+        if self.linkage == "single" and self.distance_threshold is not None and self.metric != "precomputed" and frames.shape(points)[0] > most:
+            return graph.near_components(points, graph.below_mask(self.metric, self.distance_threshold, True)).withColumnRenamed("component", "label")
         return self.fit(points).labels(points.sparkSession)
 
 
@@ -225,7 +228,7 @@ def _merges_in_rounds(points: DataFrame, linkage: str, metric: str, most: int) -
 
 def single_linkage_components(points: DataFrame, threshold: float, metric: str = "euclidean") -> DataFrame:
     """(id, label) of single linkage cut at a threshold, for any number of points: the components of nearer pairs."""
-    return graph.components(points.select("id"), graph.pair_forest(points, metric, threshold)).withColumnRenamed("component", "label")
+    return graph.near_components(points, graph.below_mask(metric, threshold)).withColumnRenamed("component", "label")
 
 
 @dataclass(frozen=True)

@@ -219,3 +219,45 @@ def test_spectral_validation_multiplies_each_vector_once():
     values, vectors = kernels.smallest_eigenpairs((n, matvec), 3)
     assert len(calls) < 176  # 636 when images were computed twice and pairs sought anew
     assert np.linalg.norm(np.stack([matvec(v) for v in vectors.T], 1) - vectors * values, axis=0).max() < 1e-5
+
+
+def counted(spark, near):
+    """near, and an accumulator of the pairs that it was asked for."""
+    count = spark.sparkContext.accumulator(0)
+
+    def asked(x, y):
+        count.add(len(x) * len(y))
+        return near(x, y)
+
+    return asked, count
+
+
+@pytest.mark.parametrize(("scale", "below"), [(0.02, 0.15), (1.0, 0.5), (1.0, 1e-9), (1.0, 100.0)])
+def test_agglomerative_threshold_components_in_rounds(spark, scale, below):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, scale, (300, 3)) + np.repeat(np.arange(3), [200, 90, 10])[:, None]
+    x[7] = x[3]
+    d = np.sqrt(kernels.exact_squared(x, x))
+    want = graph.label_components(300, *np.nonzero(d < below))
+    near, count = counted(spark, graph.below_mask("euclidean", below))
+    ids, label = graph.near_labels(frames.from_rows(spark, x), near, first=16)
+    assert (ids == np.arange(300)).all() and (label == want).all()
+    if scale < 1:  # all pairs were compared before
+        assert count.value < 300 * 299 / 2
+
+
+def test_agglomerative_threshold_needs_no_tree(spark, tables, small, monkeypatch):
+    points = frames.points(spark.read.parquet(f"{tables}/embeddings.parquet"), "vec_id", "embedding")
+    want = Agglomerative(None, "single", distance_threshold=0.5).fit(points).labels(spark).collect()
+    monkeypatch.setattr(Agglomerative.fit, "__defaults__", (10,))
+    monkeypatch.setattr(Agglomerative.fit_predict, "__defaults__", (10,))
+    monkeypatch.setattr(graph.near_labels, "__defaults__", (8,))
+    monkeypatch.setattr(graph, "pair_forest", None)
+    assert Agglomerative(None, "single", distance_threshold=0.5).fit_predict(points).collect() == want
+
+
+def test_below_mask_is_exact_at_the_bound():
+    x = np.random.default_rng(1).normal(size=(60, 5)).round(1) + 1e3
+    d = kernels.distances(x, x)
+    for below in (0.0, *np.unique(d)[[0, 1, 5, 400, 900]]):
+        assert (graph.below_mask("euclidean", below)(x, x) == (d < below)).all()
