@@ -1,7 +1,8 @@
 """Spectral clustering: affinity, components, normalised Laplacian, eigenvectors, K-Means.
 
 Dense affinities of up to LOCAL_POINTS points are matrices on the driver. Larger rbf and cosine ones are never stored:
-tasks multiply blocks of them with the vectors of a block Lanczos, and find their components by pairs of blocks. The neighbour affinity is a frame of edges built
+tasks multiply blocks of them with the vectors of a block Lanczos, or for cosine the driver multiplies by two matrices as
+narrow as the points; components are found in rounds by tasks. The neighbour affinity is a frame of edges built
 by blocks; its components are found by joins, and only its edges (k for each point at most, twice) come to the driver,
 where Lanczos multiplies by them without a matrix.
 """
@@ -113,15 +114,18 @@ class Affinity:
 
 class SpreadAffinity:
     """An affinity of all pairs of points, computed by tasks whenever it is used; 1 on the diagonal. value: a function of
-    two matrices of rows."""
+    two matrices of rows. factors: those of a product that is the affinity, as by `cosine_factors`, if there are any."""
 
-    def __init__(self, points: DataFrame, x: np.ndarray, value: Callable):
-        self.points, self.value, self.n, self.spark = points, value, len(x), points.sparkSession
-        self.sent = self.spark.sparkContext.broadcast(x)
+    def __init__(self, points: DataFrame, x: np.ndarray, value: Callable, factors: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        self.points, self.value, self.n, self.spark, self.factors = points, value, len(x), points.sparkSession, factors
+        self.sent = self.spark.sparkContext.broadcast(x) if factors is None else None
         self.degree = self.product(np.ones((self.n, 1)))[:, 0]
 
     def product(self, v: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
         """The affinity without its diagonal times a matrix."""
+        if self.factors is not None:
+            left, right, own = self.factors
+            return left @ (right.T @ v) - own[:, None] * v
         n, value, sent = self.n, self.value, self.sent
         tasks = min(n, 4 * self.spark.sparkContext.defaultParallelism)
         vectors = self.spark.sparkContext.broadcast(v)
@@ -148,13 +152,16 @@ class SpreadAffinity:
 
     def components(self) -> np.ndarray:
         value = self.value
-        edges = graph.pair_forest(self.points, lambda x, y: -value(x, y), -graph.CONNECTS)
-        found = graph.components(self.points.select("id"), edges).toArrow().sort_by("id")
-        return found.column("component").to_numpy()
+        return graph.near_labels(self.points, lambda x, y: value(x, y) > graph.CONNECTS)[1]
 
     def laplacian(self) -> tuple[kernels.BlockOperator, np.ndarray]:
         s = Affinity._scale(self.degree)
-        return kernels.BlockOperator(self.n, lambda v: v - s[:, None] * self.product(s[:, None] * v)), s
+        sizes = {} if self.factors is None else {"block": 16, "most": 128}  # products are cheap, vectors take memory
+        return kernels.BlockOperator(self.n, lambda v: v - s[:, None] * self.product(s[:, None] * v), **sizes), s
+
+    def close(self) -> None:
+        if self.sent is not None:
+            self.sent.destroy()
 
     def stats(self) -> dict:
         value = self.value
@@ -172,6 +179,24 @@ def rbf_quick(gamma: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return value
 
 
+def cosine_factors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Two matrices whose product (left by right transposed) is the cosine affinity of all rows, and its diagonal: with
+    unit rows u of lengths r it is u u' / (1 + eps / (r r')), a series in eps / (r r'). None where that converges slowly."""
+    r = np.sqrt((x * x).sum(1))
+    some = r > 0
+    if not np.isfinite(r).all():
+        return None
+    u = x / np.where(some, r, 1)[:, None]
+    root = np.where(some, math.sqrt(kernels.COSINE_EPS) / np.where(some, r, 1), 0)
+    most, terms = float(root.max(initial=0)) ** 2, 1
+    while most**terms > 1e-15:
+        terms += 1
+        if terms > 4:
+            return None
+    left = np.hstack([u * (root**k)[:, None] for k in range(terms)])
+    return left, left * np.repeat([(-1.0) ** k for k in range(terms)], x.shape[1]), r * r / (r * r + kernels.COSINE_EPS)
+
+
 @dataclass(frozen=True)
 class Spectral:
     """affinity: one of AFFINITIES, or a function from a matrix of points to a matrix of affinities."""
@@ -336,11 +361,11 @@ class Spectral:
                 if self.n_clusters > n:
                     raise ValueError("n_clusters cannot exceed the number of samples")
                 value = graph.cosine_value if self.affinity == "cosine" else rbf_quick(self.gamma if self.gamma is not None else 1 / x.shape[1])
-                affinity = SpreadAffinity(points, x, value)
+                affinity = SpreadAffinity(points, x, value, cosine_factors(x) if self.affinity == "cosine" else None)
                 try:
                     return self._fit(affinity, ids, None)
                 finally:
-                    affinity.sent.destroy()
+                    affinity.close()
         return self.fit_array(x, ids)
 
     def fit_predict(self, points: DataFrame) -> DataFrame:

@@ -261,3 +261,23 @@ def test_below_mask_is_exact_at_the_bound():
     d = kernels.distances(x, x)
     for below in (0.0, *np.unique(d)[[0, 1, 5, 400, 900]]):
         assert (graph.below_mask("euclidean", below)(x, x) == (d < below)).all()
+
+
+@pytest.mark.parametrize("low", [1.0, 1e-1, 1e-5])
+def test_spectral_cosine_multiplies_by_factors(spark, low):
+    from galaxis.operators import spectral
+
+    x = np.random.default_rng(4).normal(size=(50, 4)) * np.geomspace(low, 2, 50)[:, None]
+    x[9] = 0
+    a, found = 1 - kernels.distances(x, x, "cosine"), spectral.cosine_factors(x)
+    if low == 1e-5:
+        assert found is None  # the series would be too long
+        return
+    left, right, own = found
+    np.testing.assert_allclose(left @ right.T, a, rtol=0, atol=1e-14)
+    np.testing.assert_allclose(own, np.diag(a), rtol=0, atol=1e-14)
+    np.fill_diagonal(a, 0)
+    v = np.random.default_rng(5).normal(size=(50, 3))
+    affinity = spectral.SpreadAffinity(frames.from_rows(spark, x), x, graph.cosine_value, found)
+    assert affinity.sent is None
+    np.testing.assert_allclose(affinity.product(v), a @ v, rtol=0, atol=1e-13)
