@@ -263,6 +263,13 @@ def test_below_mask_is_exact_at_the_bound():
         assert (graph.below_mask("euclidean", below)(x, x) == (d < below)).all()
 
 
+@pytest.mark.parametrize("name", ["component_indicators", "connected_components"])
+def test_component_indicators_in_rounds(spark, tables, monkeypatch, name):
+    monkeypatch.setattr(graph.near_labels, "__defaults__", (8,))
+    monkeypatch.setattr(graph, "pair_forest", None)
+    as_duckdb(spark, tables, name)
+
+
 @pytest.mark.parametrize("low", [1.0, 1e-1, 1e-5])
 def test_spectral_cosine_multiplies_by_factors(spark, low):
     from galaxis.operators import spectral
