@@ -288,3 +288,21 @@ def test_spectral_cosine_multiplies_by_factors(spark, low):
     affinity = spectral.SpreadAffinity(frames.from_rows(spark, x), x, graph.cosine_value, found)
     assert affinity.sent is None
     np.testing.assert_allclose(affinity.product(v), a @ v, rtol=0, atol=1e-13)
+
+
+@pytest.mark.parametrize("upper", [True, False])
+def test_pairwise_cosine_by_pieces(spark, upper):
+    x = np.random.default_rng(8).normal(size=(400, 3))
+    large = spark.sparkContext.accumulator(0)
+
+    def value(x, y):
+        large.add(len(x) * len(y) > 1 << 17)  # a pair of blocks came at once before
+        return 1 - x @ y.T
+
+    got = {r.i: r for r in graph.summed_pairs(frames.from_rows(spark, x), value, upper).collect()}
+    assert len(got) == 400 - upper and large.value == 0
+    d = 1 - x @ x.T
+    for i, r in got.items():
+        some = np.arange(400) > i if upper else np.arange(400) != i
+        assert r.n == some.sum()
+        np.testing.assert_allclose((r.low, r.total, r.high), (d[i, some].min(), d[i, some].sum(), d[i, some].max()), rtol=1e-9)
