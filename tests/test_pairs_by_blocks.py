@@ -306,3 +306,15 @@ def test_pairwise_cosine_by_pieces(spark, upper):
         some = np.arange(400) > i if upper else np.arange(400) != i
         assert r.n == some.sum()
         np.testing.assert_allclose((r.low, r.total, r.high), (d[i, some].min(), d[i, some].sum(), d[i, some].max()), rtol=1e-9)
+
+
+def test_pairwise_manhattan_by_larger_values():
+    rng = np.random.default_rng(6)
+    for scale in (1.0, 1e3, 1e12):
+        x = rng.normal(0, 1, (60, 7)) + scale
+        x[5], x[6] = x[4], x[4] + 1e-7
+        want = np.abs(x[:, None] - x[None, :]).sum(2)
+        got = kernels.refined_manhattan(x, x)
+        np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-10)
+        assert got[4, 5] == 0 == got[7, 7]
+    assert np.isnan(kernels.refined_manhattan(np.array([[np.nan]]), np.array([[1.0]]))).all()
