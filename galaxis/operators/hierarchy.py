@@ -7,7 +7,7 @@ HDBSCAN's hierarchy is built on the spanning forest that rounds of joins find ov
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -84,7 +84,10 @@ class Agglomerative:
             return self.fit_array(x, ids)
         if self.n_clusters is not None and self.n_clusters > n:
             raise ValueError("n_clusters cannot exceed the number of samples")
-        ids, found = _single_merges(points, self.metric) if self.linkage == "single" else _merges_in_rounds(points, self.linkage, self.metric, most)
+        if self.linkage == "single":
+            ids, found = _single_merges(points, self.metric)
+        else:
+            ids, found = (_merges_in_rounds if self.linkage == "ward" else _merges_by_lists)(points, self.linkage, self.metric, most)
         merges = kernels.ordered_merges(found, n)
         return AgglomerativeModel(self, ids, kernels.cut(merges, n, self.n_clusters, self.distance_threshold), merges)
 
@@ -226,6 +229,104 @@ def _merges_in_rounds(points: DataFrame, linkage: str, metric: str, most: int) -
     return ids, found
 
 
+#: Nearest clusters that are remembered of each, and pairs of points whose distances the driver computes itself.
+LISTED, OWN_PAIRS = 24, 1 << 20
+LISTS = T.StructType([T.StructField("k", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("d", T.BinaryType()), T.StructField("bound", T.DoubleType())])
+VALUES = T.StructType([T.StructField("low", T.LongType()), T.StructField("d", T.BinaryType())])
+
+
+def _parts(work: np.ndarray, tasks: int) -> list[tuple[int, int]]:
+    """Ranges of about equal work."""
+    done = np.cumsum(work)
+    cuts = np.unique(np.searchsorted(done, np.linspace(0, done[-1], tasks + 1)[1:-1], "right")).tolist()
+    return [(a, b) for a, b in zip([0, *cuts], [*cuts, len(work)], strict=True) if a < b]
+
+
+def _ordered(home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points in the order of their clusters, the clusters' names and where each starts."""
+    order = np.argsort(home, kind="stable")
+    names, starts = np.unique(home[order], return_index=True)
+    return order, names, starts
+
+
+def _merges_by_lists(points: DataFrame, linkage: str, metric: str, most: int, listed: int = LISTED, own_pairs: int = OWN_PAIRS) -> tuple[np.ndarray, Found]:
+    """Complete and average linkage without a matrix of all points, by lists of nearest clusters that last for many merges
+    (`kernels.list_merges`); tasks, which hold the points, make them anew. When `most` clusters are left their distances are
+    one matrix, and the chain goes on with it."""
+    spark = points.sparkSession
+    ids, x = frames.matrix(points)
+    # Equal points are merged at 0 first, as their ties would let few pairs be merged at once.
+    _, first, back = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    base = first[back.ravel()] if metric != "cosine" else np.arange(len(x))
+    found: Found = [(0.0, int(a), k) for k, a in enumerate(base.tolist()) if a != k]
+    rep, slot = np.unique(base, return_inverse=True)
+    sent = spark.sparkContext.broadcast(x)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+
+    def run(state: tuple, parts: list, work: Callable, schema: T.StructType) -> pa.Table:
+        held = spark.sparkContext.broadcast((*state, parts))
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            order, *state, parts = held.value
+            x = sent.value[order]
+            for batch in batches:
+                for part in batch.column("id").to_pylist():
+                    yield from work(x, *state, *parts[part])
+
+        out = spark.range(0, len(parts), 1, len(parts)).mapInArrow(each, schema).toArrow()
+        held.destroy()
+        return out
+
+    def search(asked: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order, names, starts = _ordered(home[slot])
+
+        def work(x: np.ndarray, starts: np.ndarray, asked: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
+            some = asked[low:high]
+            near, d, bound = kernels.ClusterSearch(x, starts, linkage, metric).nearest(some, listed)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([r.tobytes() for r in near], pa.binary()), pa.array([r.tobytes() for r in d], pa.binary()), pa.array(bound)], names=LISTS.names)
+
+        at = np.searchsorted(names, asked)
+        many = np.diff(np.append(starts, len(x)))[at]
+        got = run((order, starts, at), _parts(many, min(tasks, 1 + int(many.sum()) // 128)), work, LISTS).sort_by("k")
+        near, d = (np.frombuffer(b"".join(got.column(c).to_pylist()), t).reshape(-1, listed) for c, t in (("ids", "<i4"), ("d", "<f8")))
+        return np.where(near >= 0, names[near], -1), d, got.column("bound").to_numpy()
+
+    def exact(a: np.ndarray, b: np.ndarray, home: np.ndarray) -> np.ndarray:
+        order, names, starts = _ordered(home[slot])
+        a, b, ends = np.searchsorted(names, a), np.searchsorted(names, b), np.append(starts[1:], len(x))
+        pairs = (ends - starts)[a] * (ends - starts)[b]
+        if pairs.sum() <= own_pairs:
+            used = np.unique(np.concatenate((a, b)))  # only the points of these clusters
+            sizes = (ends - starts)[used]
+            rows = np.concatenate([order[starts[k] : ends[k]] for k in used.tolist()])
+            return kernels.pair_linkage(x[rows], np.cumsum(sizes) - sizes, np.cumsum(sizes), np.searchsorted(used, a), np.searchsorted(used, b), linkage, metric)
+
+        def work(x: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
+            d = kernels.pair_linkage(x, starts, ends, a[low:high], b[low:high], linkage, metric)
+            yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([d.tobytes()], pa.binary())], names=VALUES.names)
+
+        got = run((order, starts, ends, a, b), _parts(pairs + 1000, tasks), work, VALUES).sort_by("low")
+        return np.frombuffer(b"".join(got.column("d").to_pylist()), "<f8")
+
+    merges, home = kernels.list_merges(np.bincount(slot), linkage, search, exact, most, listed)
+    found += [(w, int(rep[a]), int(rep[b])) for w, a, b in merges]
+    order, names, starts = _ordered(home[slot])
+    m, ends = len(names), np.append(starts[1:], len(x))
+    if m > 1:
+
+        def rows(x: np.ndarray, starts: np.ndarray, low: int, high: int) -> Iterator[pa.RecordBatch]:
+            for k, d in kernels.ClusterSearch(x, starts, linkage, metric).rows(low, high):
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([d.tobytes()], pa.binary())], names=VALUES.names)
+
+        got = run((order, starts), _parts((ends - starts) * (len(x) - starts), tasks), rows, VALUES)
+        d = np.zeros((m, m))
+        for k, row in zip(got.column("low").to_pylist(), got.column("d"), strict=True):
+            d[k, k:] = d[k:, k] = np.frombuffer(row.as_buffer(), "<f8")
+        found += [(w, int(rep[names[a]]), int(rep[names[b]])) for w, a, b in kernels.chain_merges(d, linkage, ends - starts)]
+    sent.destroy()
+    return ids, found
+
+
 def single_linkage_components(points: DataFrame, threshold: float, metric: str = "euclidean") -> DataFrame:
     """(id, label) of single linkage cut at a threshold, for any number of points: the components of nearer pairs."""
     return graph.near_components(points, graph.below_mask(metric, threshold)).withColumnRenamed("component", "label")

@@ -318,3 +318,61 @@ def test_pairwise_manhattan_by_larger_values():
         np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-10)
         assert got[4, 5] == 0 == got[7, 7]
     assert np.isnan(kernels.refined_manhattan(np.array([[np.nan]]), np.array([[1.0]]))).all()
+
+
+def list_merged(x, kind, metric, t):
+    """Merges by lists, and how many clusters were searched."""
+    asked = []
+
+    def clusters(home):
+        order = np.argsort(home, kind="stable")
+        names, starts = np.unique(home[order], return_index=True)
+        return x[order], names, starts
+
+    def listed(some, home):
+        y, names, starts = clusters(home)
+        asked.append(len(some))
+        near, d, bound = kernels.ClusterSearch(y, starts, kind, metric).nearest(np.searchsorted(names, some), t)
+        return np.where(near >= 0, names[near], -1), d, bound
+
+    def exact(a, b, home):
+        y, names, starts = clusters(home)
+        return kernels.pair_linkage(y, starts, np.append(starts[1:], len(y)), np.searchsorted(names, a), np.searchsorted(names, b), kind, metric)
+
+    found, _ = kernels.list_merges(np.ones(len(x), int), kind, listed, exact, 1, t)
+    return kernels.ordered_merges(found, len(x)), sum(asked)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "cosine"])
+@pytest.mark.parametrize("kind", ["complete", "average"])
+def test_merges_by_lists_of_nearest_clusters(kind, metric):
+    rng = np.random.default_rng(5)
+    centers = rng.standard_normal((4, 12))
+    far = np.concatenate([centers[k % 4] + rng.standard_normal(12) * 0.4 for k in range(500)]).reshape(-1, 12)
+    near = far[:40].repeat(4, 0) + rng.standard_normal((160, 12)) * 1e-7  # below single precision
+    for x in (far, near, far * 1e-3 + 100):
+        if metric == "cosine" and x[0, 0] > 50:
+            continue
+        want = kernels.neighbour_chain(kernels.distances(x, x, metric, plain_cosine=True), kind)
+        got, asked = list_merged(x, kind, metric, 16)
+        assert np.allclose([m[2] for m in got], [m[2] for m in want], rtol=1e-9, atol=1e-12)
+        assert [m[3] for m in got] == [m[3] for m in want] or x is near
+        assert (kernels.cut(got, len(x), 5) == kernels.cut(want, len(x), 5)).all()
+        assert asked < 3 * len(x)  # by rounds without lists a cluster is searched some 6 times
+    x = rng.integers(0, 3, (300, 3)).astype(float)  # equal distances have several trees
+    got, _ = list_merged(x, kind, metric, 3)
+    assert len(got) == 299 and got[-1][3] == 300
+
+
+@pytest.mark.parametrize("kind", ["complete", "average"])
+def test_large_clusters_are_searched_in_pieces(kind, monkeypatch):
+    monkeypatch.setattr(kernels, "SEARCHED", 16)
+    x, starts = np.random.default_rng(2).standard_normal((150, 5)), np.array([0, 40, 41, 60, 100, 103, 149])
+    search = kernels.ClusterSearch(x, starts, kind, "euclidean")
+    want = kernels.linkage_rows(x, starts, np.arange(7), kind, "euclidean")
+    for k, row in search.rows(0, 7):
+        assert np.allclose(row, want[k, k:])
+    np.fill_diagonal(want, np.inf)
+    near, d, bound = search.nearest(np.arange(7), 2)
+    assert (near == np.argsort(want, 1)[:, :2]).all() and np.allclose(d, np.sort(want, 1)[:, :2])
+    assert (bound <= np.sort(want, 1)[:, 2]).all()
