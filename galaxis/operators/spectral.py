@@ -121,8 +121,8 @@ class SpreadAffinity:
         self.sent = self.spark.sparkContext.broadcast(x) if factors is None else None
         self.degree = self.product(np.ones((self.n, 1)))[:, 0]
 
-    def product(self, v: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
-        """The affinity without its diagonal times a matrix."""
+    def product(self, v: np.ndarray, tile: tuple[int, int] = (512, 1024)) -> np.ndarray:
+        """The affinity without its diagonal times a matrix, by tiles that stay in a core's cache."""
         if self.factors is not None:
             left, right, own = self.factors
             return left @ (right.T @ v) - own[:, None] * v
@@ -131,16 +131,19 @@ class SpreadAffinity:
         vectors = self.spark.sparkContext.broadcast(v)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            x, v, step = sent.value, vectors.value, max(1, piece // n)
+            x, v = sent.value, vectors.value
             for batch in batches:
                 for task in batch.column("id").to_pylist():
                     low, high = task * n // tasks, (task + 1) * n // tasks
-                    out = np.empty((high - low, v.shape[1]))
-                    for at in range(low, high, step):
-                        end = min(high, at + step)
-                        a = value(x[at:end], x)
-                        a[np.arange(end - at), np.arange(at, end)] = 0
-                        out[at - low : end - low] = a @ v
+                    out = np.zeros((high - low, v.shape[1]))
+                    for at in range(low, high, tile[0]):
+                        end = min(high, at + tile[0])
+                        for left in range(0, n, tile[1]):
+                            right = min(n, left + tile[1])
+                            a = value(x[at:end], x[left:right])
+                            own = np.arange(max(at, left), min(end, right))
+                            a[own - at, own - left] = 0
+                            out[at - low : end - low] += a @ v[left:right]
                     yield pa.RecordBatch.from_arrays([pa.array([low]), pa.array([out.tobytes()], pa.binary())], names=PRODUCT.names)
 
         got = self.spark.range(0, tasks, 1, tasks).mapInArrow(run, PRODUCT).toArrow().sort_by("low")

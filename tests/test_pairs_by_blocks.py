@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from galaxis.functions import kernels
-from galaxis.operators import graph, hierarchy
+from galaxis.operators import graph, hierarchy, spectral
 from galaxis.operators.hierarchy import HDBSCAN, Agglomerative
 from galaxis.plans import registry
 from galaxis.sources import frames
@@ -376,3 +376,18 @@ def test_large_clusters_are_searched_in_pieces(kind, monkeypatch):
     near, d, bound = search.nearest(np.arange(7), 2)
     assert (near == np.argsort(want, 1)[:, :2]).all() and np.allclose(d, np.sort(want, 1)[:, :2])
     assert (bound <= np.sort(want, 1)[:, 2]).all()
+
+
+def test_spectral_rbf_multiplies_by_tiles(spark):
+    x = np.random.default_rng(3).standard_normal((1500, 4))
+    quick = spectral.rbf_quick(0.5)
+
+    def value(a, b):
+        assert len(a) <= 512 and len(b) <= 1024
+        return quick(a, b)
+
+    affinity = spectral.SpreadAffinity(frames.from_rows(spark, x), x, value)
+    a, v = quick(x, x), np.random.default_rng(4).standard_normal((1500, 3))
+    np.fill_diagonal(a, 0)
+    np.testing.assert_allclose(affinity.product(v), a @ v, rtol=0, atol=1e-10)
+    affinity.close()
