@@ -358,7 +358,7 @@ def test_merges_by_lists_of_nearest_clusters(kind, metric):
         assert np.allclose([m[2] for m in got], [m[2] for m in want], rtol=1e-9, atol=1e-12)
         assert [m[3] for m in got] == [m[3] for m in want] or x is near
         assert (kernels.cut(got, len(x), 5) == kernels.cut(want, len(x), 5)).all()
-        assert asked < 3 * len(x)  # by rounds without lists a cluster is searched some 6 times
+        assert asked < 3 * len(x)
     x = rng.integers(0, 3, (300, 3)).astype(float)  # equal distances have several trees
     got, _ = list_merged(x, kind, metric, 3)
     assert len(got) == 299 and got[-1][3] == 300
